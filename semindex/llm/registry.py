@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from semindex.llm import exact_dedup
+from semindex.llm import exact_dedup, pii
 
 QUERIES = {
+    "op2_pii": pii.op2_pii,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
 }
 
