@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from semindex.llm import exact_dedup, pii
+from semindex.llm import exact_dedup, pii, secrets, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op7_secrets": secrets.op7_secrets,
     "op2_pii": pii.op2_pii,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
 }
