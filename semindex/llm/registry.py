@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from semindex.llm import exact_dedup, pii, secrets, toxicity
+from semindex.llm import bpe, exact_dedup, pii, secrets, toxicity
 
 QUERIES = {
+    "op8_bpe": bpe.op8_bpe,
     "op1_toxicity": toxicity.op1_toxicity,
     "op7_secrets": secrets.op7_secrets,
     "op2_pii": pii.op2_pii,
