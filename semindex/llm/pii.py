@@ -153,9 +153,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and text with every confirmed span replaced by [KIND]. Overlapping spans go together."""
     found = find_pii(docs, id_col, text_col)
-    every = F.array_sort(
-        F.concat(*[F.transform(F.col(k), lambda x, k=k: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(k.upper()).alias("k"))) for k in KINDS])
-    )
+
+    def named(kind: str) -> Column:
+        return F.transform(F.col(kind), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(kind.upper()).alias("k")))
+
+    every = F.array_sort(F.concat(*[named(k) for k in KINDS]))
 
     def step(state: Column, x: Column) -> Column:
         return F.when(

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from semindex.llm import bpe, exact_dedup, pii, secrets, toxicity
+from semindex.llm import bpe, decontaminate, exact_dedup, pii, secrets, toxicity
 
 QUERIES = {
+    "op10_decontaminate": decontaminate.op10_decontaminate,
     "op8_bpe": bpe.op8_bpe,
     "op1_toxicity": toxicity.op1_toxicity,
     "op7_secrets": secrets.op7_secrets,
@@ -13,5 +14,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op10_decontaminate": decontaminate.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
 }
