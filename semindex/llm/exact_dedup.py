@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semindex.llm.common import join_by_hot_key, table, text_or_empty
+from semindex.llm.common import cut, join_by_hot_key, table, text_or_empty
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -38,7 +38,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = base.select(
         "doc_id", F.unhex(F.md5("_norm")).alias("_h"), F.unhex(F.sha2("_norm", 256)).alias("_sha")
     )
-    joined = join_by_hot_key(members, classes, ["_h", "_sha"], "group_size")
+    # both narrow tables are read twice below; the texts are hashed and shuffled once
+    joined = join_by_hot_key(cut(members), cut(classes), ["_h", "_sha"], "group_size")
     return joined.select(
         "doc_id",
         "keep_id",
