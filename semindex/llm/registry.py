@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from semindex.llm import bpe, decontaminate, exact_dedup, pii, secrets, toxicity
+from semindex.llm import bpe, decontaminate, exact_dedup, near_join, pii, secrets, toxicity
 
 QUERIES = {
+    "op3_near_join": near_join.op3_near_join,
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op8_bpe": bpe.op8_bpe,
     "op1_toxicity": toxicity.op1_toxicity,
