@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from semindex.llm import bpe, decontaminate, exact_dedup, near_join, pii, secrets, toxicity
+from semindex.llm import bpe, decontaminate, exact_dedup, near_join, pii, repeats, secrets, toxicity
 
 QUERIES = {
+    "op4_repeats": repeats.op4_repeats,
     "op3_near_join": near_join.op3_near_join,
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op8_bpe": bpe.op8_bpe,
