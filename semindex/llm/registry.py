@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from semindex.llm import bpe, decontaminate, exact_dedup, langid, near_join, pii, repeats, secrets, toxicity
+from semindex.llm import bpe, decontaminate, exact_dedup, langid, near_join, pii, quality, repeats, secrets, toxicity
 
 QUERIES = {
+    "op9_quality": quality.op9_quality,
     "op6_langid": langid.op6_langid,
     "op4_repeats": repeats.op4_repeats,
     "op3_near_join": near_join.op3_near_join,
