@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from semindex.llm.common import scan_parallelism, table
 
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 24_000_000
 VOCABULARY = "word_bpe_49k.json"
 #: Distinct words that a task remembers; beyond it the memory starts anew (a word may then be encoded again).
 REMEMBERED = 1_000_000
@@ -50,6 +50,10 @@ def _pack(values: np.ndarray) -> bytes:
     return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
 
 
+def _squeeze(data: bytes) -> bytes:
+    return pa.Codec("zstd", compression_level=9).compress(data, asbytes=True)
+
+
 def _unpack(data: bytes, n: int, kind) -> np.ndarray:
     size = np.dtype(kind).itemsize
     raw = pa.decompress(data, decompressed_size=n * size, codec="zstd", asbytes=True)
@@ -73,7 +77,7 @@ class Block:
         self.chars += len(text or "") + 16
 
     def rows(self, block: str, home: int, parts: int) -> Iterator[tuple]:
-        """(dest, home, block, kind, n, a, b, c, d): kind 1 is words, kind 0 positions."""
+        """(dest, home, block, kind, n, a, b, c, d, e): kind 1 is words, kind 0 positions."""
         at = np.frombuffer(self.at, np.uint32)
         words = list(self.words)
         self.words.clear()
@@ -82,17 +86,17 @@ class Block:
         rank = np.empty(len(words), np.uint32)
         rank[order] = np.arange(len(words), dtype=np.uint32)
         part = np.fromiter((zlib.crc32(words[i]) % parts for i in order), np.uint16, len(words))
-        yield home % parts, home, block, 0, len(words), np.frombuffer(self.docs, np.int64).tobytes() + bytes(self.null), _pack(np.frombuffer(self.counts, np.uint32)), _pack(rank[at]) if len(at) else b"", _pack(part) if len(part) else b""
+        yield home % parts, home, block, 0, len(words), np.frombuffer(self.docs, np.int64).tobytes() + bytes(self.null), _pack(np.frombuffer(self.counts, np.uint32)), _pack(rank[at]) if len(at) else b"", b"", _pack(part) if len(part) else b""
         by_part = np.argsort(part, kind="stable")
         bounds = np.searchsorted(part[by_part], np.arange(parts + 1))
         for p in np.flatnonzero(np.diff(bounds)):
             mine = [words[order[i]] for i in by_part[bounds[p] : bounds[p + 1]]]
-            yield int(p), home, block, 1, len(mine), pa.compress(b" ".join(mine), codec="zstd", asbytes=True), str(sum(map(len, mine)) + len(mine) - 1).encode(), str(p).encode(), b""
+            yield int(p), home, block, 1, len(mine), _squeeze(b" ".join(mine)), str(sum(map(len, mine)) + len(mine) - 1).encode(), str(p).encode(), b"", b""
 
 
-MOVED = "dest int, home int, block string, kind int, n int, a binary, b binary, c binary, d binary"
+MOVED = "dest int, home int, block string, kind int, n int, a binary, b binary, c binary, d binary, e binary"
 _NAMES = [x.split()[0] for x in MOVED.split(", ")]
-_TYPES = [pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+_TYPES = [pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -134,8 +138,17 @@ def pieces(vocabulary: str) -> list[str]:
     return [found.get(i, "") for i in range(max(found, default=-1) + 1)]
 
 
-def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id, ids and decoded text of every row; with ``digest``, their count and hashes instead."""
+#: What encode() can return of each row.
+COLUMNS = {"doc_id": "long", "n_tokens": "long", "ids": "array<int>", "ids_sha256": "string", "decoded_sha256": "string", "decoded": "string"}
+DIGEST = ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def encode(
+    docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text",
+    columns: tuple[str, ...] = ("doc_id", "n_tokens", "ids", "decoded"), block_chars: int = BLOCK_CHARS,
+) -> DataFrame:
+    """The named COLUMNS of every row."""
+    wanted = [c for c in COLUMNS if c in columns]
     with open(path or default_path(), encoding="utf-8") as file:  # a small public file beside the library, on the driver
         vocabulary = docs.sparkSession.sparkContext.broadcast(file.read())
     parts = min(8191, max(17, scan_parallelism(docs) | 1))
@@ -169,15 +182,16 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[3] == 1:
                     words = words or Words(vocabulary.value)
+                    kind = np.dtype(np.uint16 if words.tokenizer.get_vocab_size() <= 65536 else np.uint32)
                     mine = pa.decompress(row[5], decompressed_size=int(row[6]), codec="zstd", asbytes=True).split(b" ")
                     ids = words.ids(mine)
                     lengths = np.fromiter(map(len, ids), np.uint32, len(ids))
-                    row = (*row[:5], _pack(lengths), _pack(np.concatenate(ids)) if lengths.sum() else b"", row[7], str(int(lengths.sum())).encode())
+                    row = (*row[:5], _pack(lengths), _squeeze(np.concatenate(ids).astype(kind).tobytes()) if lengths.sum() else b"", row[7], str(int(lengths.sum())).encode(), str(kind.itemsize).encode())
                 yield _batch([row])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_ = None
-        held: dict[int, tuple[list[str], list[str], np.ndarray]] = {}
+        held: dict[int, tuple[list[str], list[str], np.ndarray, np.ndarray]] = {}
         current = None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -187,51 +201,59 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
                     if table_ is None:
                         table_ = np.array(pieces(vocabulary.value), object), np.array([str(i) for i in range(len(pieces(vocabulary.value)))], object)
                     lengths, total = _unpack(row[5], row[4], np.uint32), int(row[8])
-                    ids = _unpack(row[6], total, np.uint32) if total else np.zeros(0, np.uint32)
+                    kind = np.dtype(f"u{int(row[9])}")
+                    ids = np.frombuffer(pa.decompress(row[6], decompressed_size=total * kind.itemsize, codec="zstd", asbytes=True), kind) if total else np.zeros(0, kind)
                     ends = np.cumsum(lengths)
                     piece, number = table_[0][ids].tolist(), table_[1][ids].tolist()
                     spans = list(zip((ends - lengths).tolist(), ends.tolist(), strict=True))
-                    held[int(row[7])] = ([" ".join(number[a:b]) for a, b in spans], [" ".join(piece[a:b]) for a, b in spans], lengths)
+                    held[int(row[7])] = ([" ".join(number[a:b]) for a, b in spans], [" ".join(piece[a:b]) for a, b in spans], lengths, ids)
                     continue
                 n_docs = len(row[5]) // 9
-                part = _unpack(row[8], row[4], np.uint16) if row[4] else np.zeros(0, np.uint16)
+                part = _unpack(row[9], row[4], np.uint16) if row[4] else np.zeros(0, np.uint16)
                 if sum(len(h[2]) for h in held.values()) != row[4]:
                     raise RuntimeError(f"block {current}: not all words came back")
-                number, piece, lengths = [""] * row[4], [""] * row[4], np.zeros(row[4], np.int64)
-                for p, (a, b, size) in held.items():
-                    for i, k in enumerate(np.flatnonzero(part == p).tolist()):
+                number, piece, lengths, first = [""] * row[4], [""] * row[4], np.zeros(row[4], np.int64), np.zeros(row[4], np.int64)
+                every, at_id = [np.zeros(0, np.int32)], 0
+                for p, (a, b, size, ids) in held.items():
+                    mine = np.flatnonzero(part == p)
+                    for i, k in enumerate(mine.tolist()):
                         number[k], piece[k] = a[i], b[i]
-                    lengths[part == p] = size
+                    lengths[mine] = size
+                    first[mine] = np.cumsum(size) - size + at_id
+                    every.append(ids.astype(np.int32))
+                    at_id += len(ids)
                 held = {}
                 counts = _unpack(row[6], n_docs, np.uint32).astype(np.int64)
                 at = _unpack(row[7], int(counts.sum()), np.uint32) if counts.sum() else np.zeros(0, np.uint32)
-                yield from results(np.frombuffer(row[5][: 8 * n_docs], np.int64), np.frombuffer(row[5][8 * n_docs :], np.uint8), counts, at, number, piece, lengths)
+                yield from results(np.frombuffer(row[5][: 8 * n_docs], np.int64), np.frombuffer(row[5][8 * n_docs :], np.uint8), counts, at, number, piece, lengths, first, np.concatenate(every))
 
-    def results(ids, null, counts, at, number, piece, lengths) -> Iterator[pa.RecordBatch]:
+    def results(doc_ids, null, counts, at, number, piece, lengths, first, every) -> Iterator[pa.RecordBatch]:
         ends = np.cumsum(counts)
         tokens = np.concatenate([[0], np.cumsum(lengths[at])])
-        for i in range(0, len(ids), 500):
-            some = range(i, min(i + 500, len(ids)))
-            out: list[list] = [[], [], [], []]
-            for k in some:
+        for i in range(0, len(doc_ids), 500):
+            j = min(i + 500, len(doc_ids))
+            low, high = ends[i] - counts[i], ends[j - 1]
+            numbers, texts = [], []
+            for k in range(i, j):
                 words = at[ends[k] - counts[k] : ends[k]].tolist()
-                numbers = " ".join(filter(None, map(number.__getitem__, words)))
-                text = " ".join(filter(None, map(piece.__getitem__, words)))
-                out[0].append(None if null[k] else int(ids[k]))
-                if digest:
-                    out[1].append(int(tokens[ends[k]] - tokens[ends[k] - counts[k]]))
-                    out[2].append(hashlib.sha256(numbers.encode()).hexdigest())
-                    out[3].append(hashlib.sha256(text.encode()).hexdigest())
-                else:
-                    out[1].append([int(x) for x in numbers.split()])
-                    out[2].append(text)
-            columns = [pa.array(out[0], pa.int64()), *([pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())] if digest else [pa.array(out[1], pa.list_(pa.int32())), pa.array(out[2], pa.string())])]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *(["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["ids", "decoded"])])
+                texts.append(" ".join(filter(None, map(piece.__getitem__, words))))
+                if "ids_sha256" in wanted:
+                    numbers.append(hashlib.sha256(" ".join(filter(None, map(number.__getitem__, words))).encode()).hexdigest())
+            bounds = tokens[np.append(ends[i:j] - counts[i:j], high)]
+            out = {"doc_id": pa.array(doc_ids[i:j], pa.int64(), mask=null[i:j].astype(bool)), "n_tokens": pa.array(np.diff(bounds), pa.int64())}
+            if "ids" in wanted:  # each word's ids, word after word
+                size = lengths[at[low:high]]
+                place = np.repeat(first[at[low:high]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                out["ids"] = pa.ListArray.from_arrays(pa.array(bounds - bounds[0], pa.int32()), pa.array(every[place]))
+            out["ids_sha256"] = pa.array(numbers, pa.string()) if numbers else None
+            out["decoded_sha256"] = pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string()) if "decoded_sha256" in wanted else None
+            out["decoded"] = pa.array(texts, pa.string()) if "decoded" in wanted else None
+            yield pa.RecordBatch.from_arrays([out[c] for c in wanted], names=wanted)
 
     moved = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(split, MOVED)
     encoded = moved.repartitionById(parts, F.col("dest")).mapInArrow(encode_words, MOVED)
     met = encoded.repartitionById(parts, F.pmod(F.col("home"), F.lit(parts)).cast("int")).sortWithinPartitions("block", F.desc("kind"))
-    return met.mapInArrow(join, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids array<int>, decoded string")
+    return met.mapInArrow(join, ", ".join(f"{c} {COLUMNS[c]}" for c in wanted))
 
 
 def piece_table(spark: SparkSession, path: str | None = None) -> DataFrame:
@@ -253,4 +275,4 @@ def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id",
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(table(spark, sf_dir, "documents"), digest=True)
+    return encode(table(spark, sf_dir, "documents"), columns=DIGEST)
