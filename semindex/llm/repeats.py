@@ -40,7 +40,7 @@ from semindex.llm import textbytes as tb
 from semindex.llm.common import cut, scan_parallelism, table
 
 LENGTH, GRAM, STEP = 200, 32, 16
-SEGMENT = 1 << 22
+SEGMENT = 1 << 19
 BROADCAST_DOCS = 1_000_000
 _POS = 28  # bits of a position within a segment or chunk
 
@@ -125,17 +125,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         for batch in batches:
             ids, hashes = batch.column(0), batch.column(1)
             for row, data, offsets, base in _segments(batch.column(2), length):
-                d, a, first, last, g, c1, c2 = _ranges(data, offsets, length, gram)
+                d, a, first, last, _, c1, c2 = _ranges(data, offsets, length, gram)
                 d_row = pa.array(d + row)
                 start = offsets[d]
                 place = ((first - start + base) << 16) | ((a - first) << 8) | (last - first)
-                yield pa.RecordBatch.from_arrays([ids.take(d_row), hashes.take(d_row), pa.array(place, _I), _signed(g), _signed(c1), _signed(c2)], names=["_id", "_h", "place", "g", "c1", "c2"])
+                yield pa.RecordBatch.from_arrays([ids.take(d_row), hashes.take(d_row), pa.array(place, _I), _signed(c1), _signed(c2)], names=["_id", "_h", "place", "c1", "c2"])
 
     # passes 1 and 2: the kind of each covered text. Both counts use one exchange by gram.
     texts = docs.mapInArrow(digits, "g long, c1 long, c2 long, n long").repartition(parts, "g").groupBy("g", "c1", "c2").agg(F.sum("n").alias("n"))
     grams = texts.groupBy("g").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("texts")).filter("all > 1")
-    kinds = cut(texts.join(grams.hint("shuffle_hash"), "g").selectExpr("c1", "c2", "n", "n > 1 as whole", "texts > 1 as mixed"))
-    found = docs.mapInArrow(ranges, "_id long, _h long, place long, g long, c1 long, c2 long")
+    kinds = cut(texts.join(grams.hint("shuffle_hash"), "g").selectExpr("c1", "c2", "g", "n > 1 as whole", "texts > 1 as mixed"))
+    found = docs.mapInArrow(ranges, "_id long, _h long, place long, c1 long, c2 long")
     found = cut(found.join(kinds.hint("merge"), ["c1", "c2"]))
     first = F.shiftright("place", 16)
     last = first + F.col("place").bitwiseAND(255)
@@ -208,14 +208,21 @@ def _texts_with(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(_id, _h, _t, places, gs) of the texts that have rows (_id, _h, place, g)."""
     lists = rows.groupBy("_id", "_h").agg(F.collect_list(F.struct("place", "g")).alias("r"))
     lists = cut(lists.selectExpr("_id", "_h", "r.place as places", "r.g as gs"))
-    one = docs
-    if lists.count() <= BROADCAST_DOCS:
-        some = F.broadcast(lists.select("_id", "_h"))
-        one = docs.join(some, docs["_id"].eqNullSafe(some["_id"]) & (docs["_h"] == some["_h"]), "left_semi")
-    joined = one.alias("d").join(lists.hint("merge").alias("l"), F.expr("d._id <=> l._id and d._h = l._h"))
+    some, _ = _split(docs, lists)
+    joined = some.alias("d").join(lists.hint("merge").alias("l"), F.expr("d._id <=> l._id and d._h = l._h"))
     return joined.selectExpr("d._id", "d._h", "d._t", "l.places", "l.gs")
 
 
+def _split(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ``docs`` with a key (_id, _h) in ``keys``, and those without; all rows and None if
+    there are too many keys to broadcast."""
+    if keys.count() > BROADCAST_DOCS:
+        return docs, None
+    some = F.broadcast(keys.select("_id", "_h"))
+    same = docs["_id"].eqNullSafe(some["_id"]) & (docs["_h"] == some["_h"])
+    return docs.join(some, same, "left_semi"), docs.join(some, same, "left_anti")
+
+
 def _with_places(batches: Iterator[pa.RecordBatch]):
     """(id, hash, bytes, places, grams) of each row, once for each id and text in a batch."""
     for batch in batches:
@@ -229,9 +236,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row for each input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes)."""
     base = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t"))
     base = base.select("_id", F.xxhash64("_t").alias("_h"), "_t")
-    # an id with a text that occurs again is two rows of one key; the key says which copy it is
-    spans = repeated_spans(base, length).groupBy("_id", "_h").agg(F.collect_list(F.struct("s", "e")).alias("r"))
-    joined = base.alias("d").join(spans.hint("merge").alias("p"), F.expr("d._id <=> p._id and d._h = p._h"), "left")
+    spans = cut(repeated_spans(base, length).groupBy("_id", "_h").agg(F.collect_list(F.struct("s", "e")).alias("r")))
+    some, rest = _split(base, spans)  # texts without spans stay where they are
+    joined = some.alias("d").join(spans.hint("merge").alias("p"), F.expr("d._id <=> p._id and d._h = p._h"), "left").selectExpr("d._id", "d._t", "p.r.s", "p.r.e")
+    if rest is not None:
+        nothing = "cast(null as array<bigint>)"
+        joined = joined.unionByName(rest.selectExpr("_id", "_t", f"{nothing} as s", f"{nothing} as e"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,7 +260,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             kinds = [_I, _I, _I, pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return joined.selectExpr("d._id", "d._t", "p.r.s", "p.r.e").mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return joined.mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def merge(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
