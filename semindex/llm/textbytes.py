@@ -41,7 +41,7 @@ class Powers:
 
     def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 1 << 20)
+            size = max(n, 1 << 18)
             for name, base in (("up", self.base), ("down", U(inverse(self.base)))):
                 powers = np.full(size, base, U)
                 powers[0] = 1
@@ -64,7 +64,7 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, powers: Powe
     return mix((sums[end] - sums[start]) * powers(len(sums))[1][start])
 
 
-def chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows with about ``most`` bytes. Null is empty."""
     column = column.fill_null("") if column.null_count else column
     kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
