@@ -18,10 +18,14 @@ def project_id(path: str) -> str:
     return hashlib.md5(path.encode()).hexdigest()
 
 
-@F.pandas_udf("bigint")
-def vector_id(ids: pd.Series) -> pd.Series:
+def vector_id(chunk_ids: Column) -> Column:
     """63-bit number of a chunk id (blake2b of 8 bytes, big-endian, sign bit off)."""
-    return ids.map(lambda x: int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big") & 0x7FFFFFFFFFFFFFFF)
+
+    @F.pandas_udf("bigint")
+    def number(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big") & 0x7FFFFFFFFFFFFFFF)
+
+    return number(chunk_ids)
 
 
 def file_hash(content: Column) -> Column:
