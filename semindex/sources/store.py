@@ -7,6 +7,7 @@ the old one. Parquet has no MERGE; an upsert is a new version.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 POINTER = "_CURRENT"
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder that driver and executors share: below spark.checkpoint.dir, or, only where
+    that is unset (tests, local mode), below a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="semindex-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 class VersionedTable:
     def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
