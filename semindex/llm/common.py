@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,23 +18,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir; a folder of our own only
+    where that is unset (tests, local mode)."""
+    context = spark.sparkContext._jsc.sc()
+    if not context.getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="semindex-ckpt-"))
+    return context.getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: an eager checkpoint in the shared folder that the cluster names.
+    """Cut the lineage: an eager checkpoint in the shared folder. Spark removes it with the frame.
 
-    ``spark.checkpoint.dir`` is read from the session; only where it is unset (tests, local mode)
-    a folder of our own is taken.
+    What earlier cuts have made unreachable is let go first: Spark deletes shuffle files and
+    checkpoints only when the driver's garbage collectors have found their owners, which a loop of
+    small jobs would otherwise hardly ever cause.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="semindex-ckpt-")
-        )
+    _checkpoint_dir(df.sparkSession)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.checkpoint(eager=True)
 
 
-def input_partitions(df: DataFrame) -> int:
-    return df.rdd.getNumPartitions()
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write as Parquet under the shared folder and read again. The files stay until that folder goes."""
+    path = f"{_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+#: At most so many keys are broadcast, after they have been counted.
+BROADCAST_KEYS = 1_000_000
+
+
+def without(docs: DataFrame, keys: list[Column], dropped: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose ``keys`` equal no row of ``dropped`` (null equals null). The narrow
+    ``dropped`` is broadcast if it has BROADCAST_KEYS rows at most, so that texts stay where they are."""
+    dropped = cut(dropped.toDF(*[f"__drop{i}" for i in range(len(keys))]))
+    side = F.broadcast(dropped) if dropped.count() <= BROADCAST_KEYS else dropped.hint("merge")
+    same = F.lit(True)
+    for i, key in enumerate(keys):
+        same = same & key.eqNullSafe(dropped[f"__drop{i}"])
+    return docs.join(side, same, "left_anti")
 
 
 def scan_parallelism(df: DataFrame) -> int:

@@ -6,14 +6,17 @@ the start, so copies never meet each other. Two sets match at Jaccard similarity
 Chosen paths: in each run, a set of n shingles follows every shingle whose hash in this run is
 below SPREAD / n: two sets that match share a followed shingle with probability 1 - exp(-0.8 *
 SPREAD) or more. Runs repeat until at most 1 - RECALL of the matching pairs share none. Sets
-that follow the same shingle are a bucket. Buckets of at most BUCKET sets are compared pair by
-pair. Larger ones split again: their sets follow shingles by fresh hashes, to the depth DEPTH,
-and the paths are the new buckets. Besides, each member of a large bucket is compared to the
-bucket's pivot, so groups of near copies become stars instead of all pairs; members that nearly
-equal the pivot go no deeper with this bucket. What is large even at the last depth takes one new
-pivot a round until it is small. No bucket is cut short.
-
-Comparison is a bit sketch first (64 minima of two bits), then the exact similarity on the sets.
+that follow the same shingle are a bucket.
+
+First each member of a bucket is compared to the bucket's pivot, the one that shares most with
+others, so that a group of near copies becomes a few stars instead of all its pairs; connected sets
+get one label. Then buckets that still hold several labels are compared across labels: pair by pair
+up to BUCKET sets; larger ones split again, their sets follow shingles by fresh hashes to the depth
+DEPTH, and the paths are the new buckets. What is large even at the last depth is compared pair by
+pair all the same: no bucket is cut short. Pairs of one label need no comparison: links say what is
+connected.
+
+Comparison is a bit sketch first (some bits of the smallest hash of each bin), then the exact similarity on the sets.
 Only narrow rows are shuffled; sets travel only for pairs that pass the sketch.
 
 Null, empty and blank texts have no words and form one class. Texts of one to four words have
@@ -32,20 +35,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semindex.llm import textbytes as tb
-from semindex.llm.common import cut, join_by_hot_key, table
+from semindex.llm.common import cut, join_by_hot_key, scan_parallelism, table, without
 from semindex.llm.graph import connected_components
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
-SPREAD, DEEPER, DEPTH, BUCKET = 2.0, 3.0, 3, 64
-#: Of 64 two-bit minima: fewer equal ones than MAYBE rule a match out (about four standard
-#: deviations below what 0.8 gives); at NEARLY or more a member is nearly its pivot.
-MAYBE, NEARLY = 43, 62
+SPREAD, DEEPER, DEPTH, BUCKET = 2.0, 2.0, 3, 1024
+#: Sketch: the smallest hash of each of BINS bins, BITS bits of it, WORDS numbers of 64 bits.
+BINS, BITS = 256, 4
+WORDS = BINS * BITS // 64
+#: Standard deviations above the expected number of different bins of matching sets.
+SIGMAS = 4.0
 BROADCAST_IDS = 1_000_000
-ROUNDS = 24
+#: Rounds of stars at most; each takes other pivots, and ends early if nothing new is linked.
+STARS, PIVOTS = 2, 4
 
 RUNS = math.ceil(-math.log(1 - RECALL) / (THRESHOLD * SPREAD))
 LEVELS = ", ".join(f"t{k} array<array<bigint>>" for k in range(DEPTH))
-RECORD = f"doc_id long, fp1 long, fp2 long, n int, s1 long, s2 long, {LEVELS}"
+SKETCH = [f"s{i}" for i in range(WORDS)]
+RECORD = f"doc_id long, text_hash long, fp1 long, fp2 long, n int, {', '.join(f'{c} long' for c in SKETCH)}, {LEVELS}"
 
 
 def fingerprint(u: np.ndarray) -> tuple[int, int]:
@@ -55,19 +62,17 @@ def fingerprint(u: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
-_EDGES = np.arange(64, dtype=tb.U) << tb.U(58)
+_SHIFT = tb.U(64 - BINS.bit_length() + 1)
+_EDGES = np.arange(BINS, dtype=tb.U) << _SHIFT
 
 
-def sketch(u: np.ndarray) -> tuple[int, int]:
-    """Two bits of the smallest hash in each of 64 bins (u: sorted hashes). Empty bins are 0."""
+def sketch(u: np.ndarray) -> list[int]:
+    """BITS bits of the smallest hash in each bin (u: sorted hashes). Empty bins are 0."""
     at = np.searchsorted(u, _EDGES)
-    full = at < len(u)
-    value = np.zeros(64, tb.U)
     low = u[np.minimum(at, len(u) - 1)]
-    full &= (low >> tb.U(58)) == np.arange(64, dtype=tb.U)
-    value[full] = tb.mix(low[full]) & tb.U(3)
-    shift = (np.arange(32, dtype=tb.U)) * tb.U(2)
-    return tuple(int((value[i : i + 32] << shift).sum(dtype=tb.U).view(np.int64)) for i in (0, 32))
+    full = (at < len(u)) & ((low >> _SHIFT) == np.arange(BINS, dtype=tb.U))
+    value = np.where(full, tb.mix(low) & tb.U((1 << BITS) - 1), tb.U(0)).reshape(WORDS, 64 // BITS)
+    return (value << (np.arange(64 // BITS, dtype=tb.U) * tb.U(BITS))).sum(1, dtype=tb.U).view(np.int64).tolist()
 
 
 def _limit(rate: float, n: int, bits: int) -> int:
@@ -96,10 +101,11 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(u):
                     rows.append((*fingerprint(u), len(u), *sketch(u), *followed(u)))
                 else:
-                    rows.append((0, 0, 0, 0, 0, *[[] for _ in range(DEPTH)]))
+                    rows.append((0, 0, 0, *[0] * WORDS, *[[] for _ in range(DEPTH)]))
             columns = list(zip(*rows, strict=True))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[nested] * DEPTH]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=names)
+            kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * WORDS, *[nested] * DEPTH]
+            own = [batch.column(i).slice(first, end - first) for i in (0, 2)]
+            yield pa.RecordBatch.from_arrays([*own, *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=names)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,95 +133,147 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out.filter(ok)
 
 
-def _equal_bins(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
-    mask = F.lit(0x5555555555555555)
-
-    def differing(a: Column, b: Column) -> Column:
-        x = a.bitwiseXOR(b)
-        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(mask))
-
-    return F.lit(64) - differing(a1, b1) - differing(a2, b2)
-
-
-_MEMBER = ["key", "run", "cid", "n", "s1", "s2"]
-
-
-def _sized(rows: DataFrame) -> DataFrame:
-    """Rows of buckets of at least two sets, with the bucket's size. (Checkpointed.)"""
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("key", "cid").alias("o"), "cid", "n", "s1", "s2")).alias("pivot")).filter("size > 1")
-    return cut(rows.join(sizes, "key").select(*_MEMBER, "size", "pivot"))
-
-
-def _candidates(small: DataFrame) -> DataFrame:
-    """Pairs (a < b) within buckets that may match."""
-    a, b = small.alias("a"), small.alias("b")
-    near = (F.col("a.cid") < F.col("b.cid")) & (F.least("a.n", "b.n") >= THRESHOLD * F.greatest("a.n", "b.n"))
-    same = _equal_bins(F.col("a.s1"), F.col("a.s2"), F.col("b.s1"), F.col("b.s2")) >= MAYBE
-    return a.join(b, (F.col("a.key") == F.col("b.key")) & near & same).select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b"))
-
-
-def _to_pivot(large: DataFrame) -> tuple[DataFrame, Column]:
-    same = _equal_bins(F.col("s1"), F.col("s2"), F.col("pivot.s1"), F.col("pivot.s2"))
-    near = (F.least("n", "pivot.n") >= THRESHOLD * F.greatest("n", "pivot.n")) & (same >= MAYBE)
-    pairs = large.filter((F.col("cid") != F.col("pivot.cid")) & near).select(F.least("cid", "pivot.cid").alias("a"), F.greatest("cid", "pivot.cid").alias("b"))
-    return pairs, same
-
-
-def candidate_pairs(classes: DataFrame) -> DataFrame:
-    """Distinct pairs of class numbers that share a path and pass the sketch."""
-    t0 = classes.select(F.posexplode("t0").alias("run", "toks"), "cid", "n", "s1", "s2")
-    rows = t0.select(F.explode("toks").alias("key"), "run", "cid", "n", "s1", "s2")
+def _different_bins(a: str, b: str) -> Column:
+    mask = F.lit(0x1111111111111111)
+    total = F.lit(0)
+    for c in SKETCH:
+        x = F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        total = total + F.bit_count(x.bitwiseAND(mask))
+    return total
+
+
+def _near(a: str, b: str) -> Column:
+    """May the sets of two rows match, by size and sketch?
+
+    Sets that match share THRESHOLD / (1 + THRESHOLD) of their joint size at least. Each bin that
+    differs holds a shingle of one set alone, which bounds the bins that differ. Large sets put many
+    shingles in a bin: there the smallest hash belongs to one set alone with probability
+    1 - THRESHOLD, and SIGMAS standard deviations above that bound it.
+    """
+    less, more = F.least(f"{a}n", f"{b}n"), F.greatest(f"{a}n", f"{b}n")
+    apart = (F.col(f"{a}n") + F.col(f"{b}n")) * ((1 - THRESHOLD) / (1 + THRESHOLD)) + 1e-6
+    p = 1 - THRESHOLD
+    most = F.lit(p * BINS + SIGMAS * (p * (1 - p) * BINS) ** 0.5)
+    return (less >= THRESHOLD * more) & (_different_bins(a, b) <= F.least(apart, most))
+
+
+def _with_sketches(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that pass _near()."""
+    facts = classes.select("cid", "n", *SKETCH)
+    both = pairs.join(facts.alias("x"), F.col("a") == F.col("x.cid")).join(facts.alias("y"), F.col("b") == F.col("y.cid"))
+    return both.filter(_near("x.", "y.")).select("a", "b")
+
+
+def _followers(classes: DataFrame) -> DataFrame:
+    """(key, run, cid): who follows what at the first depth, in buckets of at least two sets.
+    (Checkpointed.)"""
+    t0 = classes.select(F.posexplode("t0").alias("run", "toks"), "cid")
+    rows = t0.select(F.explode("toks").alias("key"), "run", "cid")
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    return cut(rows.join(sizes, "key"))
+
+
+def _stars(rows: DataFrame, classes: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of each bucket's members with its pivots, where their labels differ. In the
+    first turn pivots are members of whose followed shingles most are shared: of a group of near
+    copies those are near its middle. Later turns take any. (Checkpointed.)"""
+    # how many of the shingles that a set follows nobody else follows
+    alone = F.aggregate("t0", F.lit(0), lambda s, x: s + F.size(x)) - F.col("shared")
+    order = rows.groupBy("cid").agg(F.count(F.lit(1)).alias("shared")).join(classes.select("cid", "t0"), "cid").select("cid", (F.lit(0) if turn else alone).alias("alone"))
+    told = rows.select("key", "cid").join(order, "cid").join(labels, "cid")
+    firsts = [F.min(F.struct("alone", F.xxhash64("key", "cid", F.lit(turn * PIVOTS + i)).alias("o"), "cid", "label")).alias(f"p{i}") for i in range(PIVOTS)]
+    pivots = told.groupBy("key").agg(*firsts).select("key", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"p{i}.cid").alias("pivot"), F.col(f"p{i}.label").alias("own")) for i in range(PIVOTS)]))).alias("p")).select("key", "p.*")
+    pairs = told.join(pivots, "key").filter("label <> own")
+    pairs = pairs.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
+    return cut(_with_sketches(pairs, classes))
+
+
+_MEMBER = ["key", "run", "cid", "label"]
+
+
+def _open_buckets(rows: DataFrame) -> DataFrame:
+    """Members of buckets whose sets are not all of one label yet, with size and ``keys`` (all open
+    buckets of the set). (Checkpointed.)"""
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low <> _high")
+    found = rows.join(sizes.select("key", "size"), "key")
+    # a set follows a few shingles at each depth, whatever its size
+    return cut(found.join(found.groupBy("cid").agg(F.collect_set("key").alias("keys")), "cid"))
+
+
+def _in_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a < b) of different labels within buckets that may match, each in one bucket only:
+    the smallest that both are in."""
+    rows = rows.join(classes.select("cid", "n", *SKETCH), "cid")
+    a, b = rows.alias("a"), rows.alias("b")
+    apart = (F.col("a.cid") < F.col("b.cid")) & (F.col("a.label") != F.col("b.label"))
+    # within a lambda, which is evaluated by itself: the comparison above it stays small enough to compile
+    here = F.forall(F.array(F.lit(1)), lambda _: F.array_min(F.array_intersect("a.keys", "b.keys")) == F.col("a.key"))
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & apart & _near("a.", "b.") & here)
+    # skewed keys can split into very many pieces; what they find is little and needs few tasks
+    return pairs.select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b")).coalesce(scan_parallelism(rows))
+
+
+def _cross_pairs(classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Distinct pairs of sets of different labels that share a path and pass the sketch; ``rows``
+    are the members of all buckets of the first depth, with labels. (Checkpointed.)"""
     found = None
-    for depth in range(DEPTH):
-        sized = _sized(rows)
-        small, large = sized.filter(F.col("size") <= BUCKET), sized.filter(F.col("size") > BUCKET)
-        stars, same = _to_pivot(large)
-        pairs = _candidates(small).unionByName(stars)
+    for depth in range(1, DEPTH + 1):
+        mixed = _open_buckets(rows)
+        if depth == DEPTH:
+            return cut(found.unionByName(_in_pairs(mixed, classes)).distinct())
+        small, large = mixed.filter(F.col("size") <= BUCKET), mixed.filter(F.col("size") > BUCKET)
+        pairs = _in_pairs(small, classes)
         found = pairs if found is None else found.unionByName(pairs)
-        # the pivot goes deeper, and all members that don't nearly equal it
-        left = large.filter((same < NEARLY) | (F.col("cid") == F.col("pivot.cid")))
-        if left.isEmpty():
-            return found.distinct()
-        if depth + 1 < DEPTH:
-            deeper = left.select(*_MEMBER).join(classes.select("cid", F.col(f"t{depth + 1}").alias("t")), "cid")
-            rows = deeper.select(*_MEMBER, F.explode(F.get("t", F.col("run"))).alias("tok")).withColumn("key", F.xxhash64("key", "tok")).select(*_MEMBER).distinct()
-    for _ in range(ROUNDS):  # large even at the last depth: one pivot a round leaves, with all that nearly equal it
-        sized = _sized(left.filter(F.col("cid") != F.col("pivot.cid")).select(*_MEMBER))
-        small, large = sized.filter(F.col("size") <= BUCKET), sized.filter(F.col("size") > BUCKET)
-        stars, same = _to_pivot(large)
-        found = found.unionByName(_candidates(small)).unionByName(stars)
-        left = large.filter((same < NEARLY) | (F.col("cid") == F.col("pivot.cid")))
-        if left.isEmpty():
-            return found.distinct()
-    rest = left.filter(F.col("cid") != F.col("pivot.cid"))  # unlike sets by the dozen on one path: all pairs, by sketch
-    return found.unionByName(_candidates(rest.select(*_MEMBER))).distinct()
+        if large.isEmpty():
+            return cut(found.distinct())
+        # split by fresh shingles
+        deeper = large.select(*_MEMBER).join(classes.select("cid", F.col(f"t{depth}").alias("t")), "cid")
+        rows = deeper.select(*_MEMBER, F.explode(F.get("t", F.col("run"))).alias("tok")).withColumn("key", F.xxhash64("key", "tok")).select(*_MEMBER).distinct()
 
 
-def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, classes, links): members (doc_id, fp1, fp2) has a row for each input row; classes
-    (cid, rep, size, fp1, fp2) a row for each distinct set; links (a, b, similarity) the verified
-    pairs of classes that the buckets hold."""
-    texts = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
-    records = cut(texts.mapInArrow(_records, RECORD))
-    wide = [f"t{k}" for k in range(DEPTH)]
-    first = F.min(F.struct("doc_id", "n", "s1", "s2", *wide)).alias("r")
-    grouped = records.groupBy("fp1", "fp2").agg(first, F.count(F.lit(1)).alias("size"))
-    classes = cut(grouped.select(F.monotonically_increasing_id().alias("cid"), F.col("r.doc_id").alias("rep"), "size", "fp1", "fp2", *[F.col(f"r.{c}").alias(c) for c in ("n", "s1", "s2", *wide)]))
-    pairs = cut(candidate_pairs(classes.filter("n > 0")))
+def _verify(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, similarity) of the pairs whose sets match exactly computed. (Checkpointed.)"""
     involved = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
     chosen = cut(classes.select("cid", "rep", "fp1", "fp2").join(involved, "cid", "left_semi"))
     side = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
-    theirs = texts.join(side.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, fp1 long, fp2 long, u binary")
+    theirs = texts.join(side.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, fp1 long, fp2 long, u binary")
     sets = theirs.join(side.select("cid", F.col("rep").alias("doc_id"), "fp1", "fp2"), ["doc_id", "fp1", "fp2"]).groupBy("cid").agg(F.first("u").alias("u"))
-    sets = cut(sets)
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("u").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("u").alias("y")), "b")
-    links = cut(both.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long, similarity double"))
-    return records.select("doc_id", "fp1", "fp2"), classes.select("cid", "rep", "size", "fp1", "fp2"), links
+    return cut(both.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long, similarity double"))
 
 
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, classes, links): members (doc_id, fp1, fp2, text_hash) has a row for each input
+    row; classes (cid, rep, size, fp1, fp2) a row for each distinct set; links (a, b, similarity)
+    the verified pairs of classes."""
+    texts = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
+    records = cut(texts.selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) h").mapInArrow(_records, RECORD))
+    wide = [f"t{k}" for k in range(DEPTH)]
+    first = F.min(F.struct("doc_id", "n", *SKETCH, *wide)).alias("r")
+    grouped = records.groupBy("fp1", "fp2").agg(first, F.count(F.lit(1)).alias("size"))
+    classes = cut(grouped.select(F.monotonically_increasing_id().alias("cid"), F.col("r.doc_id").alias("rep"), "size", "fp1", "fp2", *[F.col(f"r.{c}").alias(c) for c in ("n", *SKETCH, *wide)]))
+    rows = _followers(classes.filter("n > 0"))
+    labels = classes.select("cid", F.col("cid").alias("label"))
+    stars = None
+    for turn in range(STARS):
+        fresh = _verify(texts, classes, _stars(rows, classes, labels, turn))
+        if turn and fresh.isEmpty():
+            break
+        stars = fresh if stars is None else stars.unionByName(fresh)
+        parts = connected_components(stars)
+        labels = classes.select("cid").join(parts.withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("component", "cid").alias("label"))
+    # then members of different labels against each other, wherever a bucket still holds several
+    labelled = rows.select("key", "run", "cid").join(labels, "cid").select(*_MEMBER)
+    links = stars.unionByName(_verify(texts, classes, _cross_pairs(classes, labelled)))
+    return records.select("doc_id", "fp1", "fp2", "text_hash"), classes.select("cid", "rep", "size", "fp1", "fp2"), links
+
+
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_hash: bool = False) -> DataFrame:
     """One row for each input row: doc_id, class_id (smallest id among all documents that links
-    connect), n_links (verified links of its set to other sets), text_class (smallest id with the
+    connect), n_links (links of its set to other sets that
+    were verified; sets that links connect already are not compared again), text_class (smallest id with the
     same set), n_same (documents with that set)."""
     members, classes, links = near_join(docs, id_col, text_col)
     parts = connected_components(links)
@@ -228,13 +286,23 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         "fp1", "fp2", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.col("rep").alias("text_class"), F.col("size").alias("n_same"),
     )
-    return join_by_hot_key(members, cut(whole), ["fp1", "fp2"], "n_same").drop("fp1", "fp2")
+    found = join_by_hot_key(members, cut(whole), ["fp1", "fp2"], "n_same").drop("fp1", "fp2")
+    return found if with_hash else found.drop("text_hash")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its class, with its own columns."""
-    kept = near_duplicate_classes(docs, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")
+    """One row of ``docs`` for each class, with its own columns: that with the smallest id, and of
+    rows with that id the one whose text hashes lowest."""
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    classes = cut(near_duplicate_classes(docs, id_col, text_col, with_hash=True).select("doc_id", "class_id", "text_hash"))
+    # the narrow rows of a hot class meet as one minimum of each task
+    kept = classes.groupBy("class_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
+    kept = kept.select(F.col("k.doc_id").alias("doc_id"), F.col("k.text_hash").alias("text_hash"))
+    dropped = classes.select("doc_id", "text_hash").distinct().exceptAll(kept)
+    left = without(docs, [docs[id_col].cast("long"), F.xxhash64(text)], dropped)
+    if classes.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():
+        return left
+    return left.dropDuplicates([id_col, text_col])  # rows that repeat in full
 
 
 def op3_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
