@@ -1,8 +1,60 @@
-"""The corpus preparation pipeline (stages are added as their operators are)."""
+"""The corpus preparation pipeline: five operators, each on all that the one before it kept.
 
-STAGES = []
+    toxicity        documents that the lexicon scores at its threshold or above go
+    exact dedup     of equal texts (but for the case of A-Z) the smallest id stays
+    near dedup      of documents that similarity links connect the smallest id stays
+    decontaminate   documents that overlap a benchmark item go
+    bpe             what is left becomes token ids
+
+All stages but the last return rows of their input with its columns, whatever those are.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from semindex.llm import bpe, decontaminate, exact_dedup, near_join, toxicity
+from semindex.llm.common import stored, table
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, toxicity.train(spark, sf_dir, docs))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.drop_exact_duplicates(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_join.drop_near_duplicates(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode(docs, columns=("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("decontaminate", drop_leaks),
+    ("bpe", tokenize),
+]
+
+#: A learned lexicon and a tokenizer can't be put in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semindex.llm.common import cut, table, text_or_empty
+from semindex.llm.common import cut, table, text_or_empty, without
 
 WINDOW, TOLERANCE, MIN_WORDS = 12, 2, 5
 BROADCAST_WINDOWS = 200_000
@@ -103,8 +103,8 @@ def find_overlaps(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without any overlap, with its own columns."""
-    found = find_overlaps(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_found"))
-    return docs.join(found, docs[id_col].eqNullSafe(found["_found"]), "left_anti")
+    found = find_overlaps(docs, benchmark, id_col, text_col).select("doc_id")
+    return without(docs, [docs[id_col]], found)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

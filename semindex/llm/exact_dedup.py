@@ -50,11 +50,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """The rows of ``docs`` that stay, with its own columns."""
-    pick = {"min": F.min, "max": F.max}[keep]
-    norm = docs.select(F.col(id_col).alias("_id"), normalised(text_col).alias("_norm"))
-    kept = norm.groupBy(F.unhex(F.md5("_norm")).alias("_h"), "_norm").agg(pick("_id").alias("_id")).select("_id")
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_id"]), "left_semi")
+    """One row of ``docs`` for each text, with its own columns: that with the smallest (or largest)
+    id. Rows with one id and equal texts count as copies, too. Whole rows take part in the partial
+    aggregation, so a text moves once."""
+    pick = {"min": F.min_by, "max": F.max_by}[keep]
+    row = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        normalised(text_col).alias("_norm"),
+        F.struct(F.col(id_col), F.xxhash64(F.col(text_col))).alias("_order"),
+    )
+    kept = row.groupBy(F.unhex(F.md5("_norm")).alias("_h"), "_norm").agg(pick("_row", "_order").alias("_row"))
+    return kept.select("_row.*")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -233,6 +233,16 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", te
     return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, "doc_id long, score double")
 
 
+def drop_toxic(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with its own columns."""
+
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        return pa.array([lexicon.score(x.as_py()) < threshold for x in texts], pa.bool_())
+
+    return docs.filter(clean(F.col(text_col).cast("string")))
+
+
 def crc_fold(divisor: int, id_col: str = "_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % divisor
 
