@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from semindex.functions import embedding
-from semindex.operators import context, mutate, topk
+from semindex.functions import embedding, rules
+from semindex.operators import context, ivf, merkle, mutate, topk
 from semindex.operators.chunking.files import raw_pieces
 from semindex.plans.queries import query, table
 from semindex.streaming.incremental import windowed_counts
@@ -94,3 +94,60 @@ def stream_incremental(spark, sf_dir):
     source.writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return store.read().groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"))
 
+
+
+@query("SELECT 1::BIGINT AS same_as_itself, 0::BIGINT AS same_as_changed")
+def quick_check(spark, sf_dir):
+    """Root hashes of the corpus, of itself, and of the corpus with a changed text in one language."""
+    from semindex.plans.queries import _versions
+
+    old, new = (merkle.build(s.withColumn("content", F.encode("content", "UTF-8")), "corpus") for s in _versions(spark, sf_dir))
+    root = lambda nodes, name: nodes.filter(F.col("path") == merkle.ROOT).select(F.col("hash").alias(name))
+    both = root(old, "a").join(root(old, "b")).join(root(new, "c"))
+    return both.select((F.col("a") == F.col("b")).cast("long").alias("same_as_itself"), (F.col("a") == F.col("c")).cast("long").alias("same_as_changed"))
+
+
+@query("""SELECT conv_id, turn, concat_ws(',', CASE WHEN turn % 2 = 0 THEN 'async' END, CASE WHEN turn % 3 = 0 THEN 'generator' END, CASE WHEN conv_id % 2 = 0 THEN 'export' END,
+  CASE WHEN conv_id % 3 = 0 THEN 'generic' END, CASE WHEN role = 'user' THEN 'component' END, 'python') AS tags FROM conversations""")
+def semantic_tags(spark, sf_dir):
+    by = lambda column, n: F.col(column) % n == 0
+    made = rules.semantic_tags(by("turn", 2), by("turn", 3), by("conv_id", 2), by("conv_id", 3), F.col("role") == "user", F.lit("python"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(made, ",").alias("tags"))
+
+
+_RULES = ", ".join(f"('{x}', {'NULL' if x not in rules.ENDING_LANGUAGE else repr(rules.ENDING_LANGUAGE[x])}, {str(x in rules.TEXT_ENDINGS).lower()})" for x in rules.SUPPORTED)
+
+
+@query(f"""WITH p AS (SELECT page_id, lower(regexp_extract(split_part(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/', -1), '[^.].*?([.][^.]*[^.])$', 1)) AS ending FROM pages), r(ending, language, is_text) AS (VALUES {_RULES})
+SELECT page_id, ending, language, is_text FROM p JOIN r USING (ending)""")
+def language_join(spark, sf_dir):
+    """Files meet their language by a join with the rule table (broadcast, a row for each ending)."""
+    from semindex.plans.queries import _paths
+
+    files = _paths(spark, sf_dir).select("page_id", rules.ending(F.col("path")).alias("ending"))
+    return files.join(F.broadcast(rules.language_rules(spark)), "ending").select("page_id", "ending", "language", "is_text")
+
+
+@query("SELECT conv_id, turn, upper(role) AS role FROM conversations WHERE array_has_any([role, 'conv' || conv_id], ['user', 'conv3']) AND role IS NOT NULL")
+def tag_filter(spark, sf_dir):
+    wanted = F.array(F.lit("user"), F.lit("conv3"))
+    tags = F.array("role", F.concat(F.lit("conv"), F.col("conv_id").cast("string")))
+    return table(spark, sf_dir, "conversations").filter(F.arrays_overlap(tags, wanted)).select("conv_id", "turn", F.upper("role").alias("role"))
+
+
+@query("""SELECT 'conv' || conv_id AS file, (turn + 1) || '-' || (turn + 1) AS lines, 'turn' AS kind, round((turn + 1) / 8.0, 2) AS score, md5(concat_ws(':', 'conv' || conv_id, coalesce(role, 'None'), (turn + 1)::VARCHAR, 'turn')) AS chunk_id, role AS name FROM conversations""")
+def search_serialisation(spark, sf_dir):
+    from semindex.plans.queries import _chunks
+    from semindex.plans.service import search_rows
+
+    rows = _chunks(spark, sf_dir).withColumn("score", F.col("start_line") / 8.0)
+    return search_rows(rows).drop("snippet")
+
+
+@query()
+def vector_topk_ivf(spark, sf_dir):
+    """Approximate top-k: cells over all vectors, the nearest of them searched."""
+    corpus = table(spark, sf_dir, "embeddings")
+    centroids = ivf.train(corpus, "vec_id")
+    probe = corpus.orderBy("vec_id").select("embedding").first()[0]
+    return ivf.search(ivf.assign(corpus, centroids), centroids, list(probe), 10, id_col="vec_id").select("vec_id", "label", F.round("score", 6).alias("score"))

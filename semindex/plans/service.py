@@ -7,6 +7,7 @@ repeats work instead of losing it.
 
 from __future__ import annotations
 
+import json
 import time
 from dataclasses import dataclass
 
@@ -110,6 +111,18 @@ class Project:
     def reindex_if_needed(self, max_age_minutes: float = 5) -> IndexResult:
         return self.index_directory() if self.needs_reindex(max_age_minutes) else IndexResult()
 
+    def last_snapshot(self) -> DataFrame:
+        """The newest snapshot's facts with its age in seconds; no row without a snapshot."""
+        last = snapshots.newest(self.snapshots.read(), 1).drop("rank")
+        return last.withColumn("age_seconds", snapshots.age_seconds(F.col("snapshot_ts"), F.current_timestamp()))
+
+    def export_snapshot(self) -> dict | None:
+        """The newest snapshot and its tree as one nested dictionary, for a file outside Spark."""
+        last = self.last_snapshot().first()
+        if last is None:
+            return None
+        return {"version": "1.0", "timestamp": last["snapshot_ts"].isoformat(), "dag": merkle.to_dict(self.nodes.read(), self.root)}
+
     # --- queries -------------------------------------------------------------------------------
 
     def _filter(self, file_pattern=None, chunk_type: str | None = None, tags: list[str] | None = None):
@@ -183,6 +196,14 @@ def similar_rows(found: DataFrame) -> DataFrame:
     )
 
 
+def json_or_text(value: str) -> object:
+    """A parsed JSON document, or the text under ``result`` if it isn't one."""
+    try:
+        return json.loads(value)
+    except ValueError:
+        return {"result": value}
+
+
 class Service:
     """Projects under one storage folder, one of them current."""
 

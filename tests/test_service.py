@@ -145,3 +145,46 @@ def test_batch_top_k(spark):
         if q % 50 == 1:
             assert [i for _, i in sorted(batch[q])] == [r.id for r in topk.top_k(corpus, v, 4, "id", "v").collect()]
     assert topk.top_k_batch(corpus, queries.limit(0), 4, "id", "v").count() == 0
+
+
+def test_cells(spark):
+    import random
+
+    from semindex.operators import ivf
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(1500):
+        center = [3.0 if j == i % 12 else 0.0 for j in range(16)]
+        rows.append((i, [c + rng.gauss(0, 0.5) for c in center]))
+    corpus = spark.createDataFrame(rows, "chunk_id long, embedding array<float>")
+    centroids = ivf.train(corpus, "chunk_id")
+    assigned = ivf.assign(corpus, centroids).cache()
+    assert assigned.count() == 1500 and assigned.filter("cell is null").isEmpty()
+    found = []
+    for i in range(0, 1500, 300):
+        exact = [r.chunk_id for r in topk.top_k(corpus, rows[i][1], 10).collect()]
+        near = [r.chunk_id for r in ivf.search(assigned, centroids, rows[i][1], 10).collect()]
+        found.append(ivf.recall(near, exact))
+    assert sum(found) / len(found) >= 0.9
+
+
+def test_command_line(spark, root, tmp_path, capsys):
+    import json
+
+    from semindex.__main__ import main
+    from semindex.plans.service import json_or_text
+
+    storage = ["--storage-dir", str(tmp_path / "cli")]
+    main([*storage, "index", str(root)], spark)
+    assert json.loads(capsys.readouterr().out)["chunks_added"] == 5
+    main([*storage, "search", "login manager", "-k", "1"], spark)
+    assert json_or_text(capsys.readouterr().out.strip())["name"] == "LoginManager"
+    main([*storage, "status"], spark)
+    assert json.loads(capsys.readouterr().out)["total_chunks"] == 5
+    main([*storage, "smoke"], spark)
+    assert json.loads(capsys.readouterr().out)["chunks_added"] == 2
+    assert json_or_text("plain") == {"result": "plain"}
+    project = Project(spark, str(tmp_path / "cli"), str(root))
+    exported = project.export_snapshot()
+    assert exported["dag"]["file_count"] == 3 and project.last_snapshot().first()["age_seconds"] >= 0
