@@ -20,7 +20,8 @@ Comparison is a bit sketch first (some bits of the smallest hash of each bin), t
 Only narrow rows are shuffled; sets travel only for pairs that pass the sketch.
 
 Null, empty and blank texts have no words and form one class. Texts of one to four words have
-one shingle. Ids may repeat or be null; each input row gives one row. Empty tables give empty
+one shingle. Ids may repeat or be null; each input row gives one row, and a class's id is the
+smallest that isn't null. Empty tables give empty
 results; other columns are not read.
 """
 
@@ -238,8 +239,10 @@ def _verify(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
     involved = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
     chosen = cut(classes.select("cid", "rep", "fp1", "fp2").join(involved, "cid", "left_semi"))
     side = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
-    theirs = texts.join(side.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, fp1 long, fp2 long, u binary")
-    sets = theirs.join(side.select("cid", F.col("rep").alias("doc_id"), "fp1", "fp2"), ["doc_id", "fp1", "fp2"]).groupBy("cid").agg(F.first("u").alias("u"))
+    reps = side.select("rep").distinct()
+    theirs = texts.join(reps, texts["doc_id"].eqNullSafe(reps["rep"]), "left_semi").mapInArrow(_sets, "doc_id long, fp1 long, fp2 long, u binary")
+    # an id that repeats, or a null one, can stand for several texts: the set's fingerprint decides
+    sets = theirs.alias("t").join(side.alias("s"), F.expr("t.doc_id <=> s.rep and t.fp1 = s.fp1 and t.fp2 = s.fp2")).groupBy("cid").agg(F.first("u").alias("u"))
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("u").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("u").alias("y")), "b")
     return cut(both.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long, similarity double"))
 
@@ -251,7 +254,7 @@ def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     texts = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
     records = cut(texts.selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) h").mapInArrow(_records, RECORD))
     wide = [f"t{k}" for k in range(DEPTH)]
-    first = F.min(F.struct("doc_id", "n", *SKETCH, *wide)).alias("r")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "n", *SKETCH, *wide)).alias("r")
     grouped = records.groupBy("fp1", "fp2").agg(first, F.count(F.lit(1)).alias("size"))
     classes = cut(grouped.select(F.monotonically_increasing_id().alias("cid"), F.col("r.doc_id").alias("rep"), "size", "fp1", "fp2", *[F.col(f"r.{c}").alias(c) for c in ("n", *SKETCH, *wide)]))
     rows = _followers(classes.filter("n > 0"))
@@ -272,31 +275,31 @@ def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_hash: bool = False) -> DataFrame:
     """One row for each input row: doc_id, class_id (smallest id among all documents that links
-    connect), n_links (links of its set to other sets that
-    were verified; sets that links connect already are not compared again), text_class (smallest id with the
-    same set), n_same (documents with that set)."""
+    connect), n_links (links of its set to other sets that were verified; sets that links connect
+    already are not compared again), text_class (smallest id with the same set), n_same (documents
+    with that set). ``with_hash`` adds text_hash and class_key, which is the class's own number."""
     members, classes, links = near_join(docs, id_col, text_col)
     parts = connected_components(links)
     ends = links.select(F.col("a").alias("cid")).unionByName(links.select(F.col("b").alias("cid")))
     degree = ends.groupBy("cid").agg(F.count(F.lit(1)).alias("n_links"))
     linked = classes.select("cid", "rep").join(parts.withColumnRenamed("node", "cid"), "cid")
     root = linked.groupBy("component").agg(F.min("rep").alias("class_id"))
-    of = linked.join(root, "component").join(degree, "cid").select("cid", "class_id", "n_links")
+    of = linked.join(root, "component").join(degree, "cid").select("cid", "component", "class_id", "n_links")
     whole = classes.join(of, "cid", "left").select(
         "fp1", "fp2", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        F.col("rep").alias("text_class"), F.col("size").alias("n_same"),
+        F.col("rep").alias("text_class"), F.col("size").alias("n_same"), F.coalesce("component", "cid").alias("class_key"),
     )
     found = join_by_hot_key(members, cut(whole), ["fp1", "fp2"], "n_same").drop("fp1", "fp2")
-    return found if with_hash else found.drop("text_hash")
+    return found if with_hash else found.drop("text_hash", "class_key")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each class, with its own columns: that with the smallest id, and of
     rows with that id the one whose text hashes lowest."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    classes = cut(near_duplicate_classes(docs, id_col, text_col, with_hash=True).select("doc_id", "class_id", "text_hash"))
+    classes = cut(near_duplicate_classes(docs, id_col, text_col, with_hash=True).select("doc_id", "class_key", "text_hash"))
     # the narrow rows of a hot class meet as one minimum of each task
-    kept = classes.groupBy("class_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
+    kept = classes.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "text_hash")).alias("k"))
     kept = kept.select(F.col("k.doc_id").alias("doc_id"), F.col("k.text_hash").alias("text_hash"))
     dropped = classes.select("doc_id", "text_hash").distinct().exceptAll(kept)
     left = without(docs, [docs[id_col].cast("long"), F.xxhash64(text)], dropped)

@@ -93,6 +93,22 @@ def test_near_classes(docs, rows):
     assert sorted(r.doc_id for r in left.collect()) == sorted(set(want.values()))
 
 
+def test_null_ids(spark):
+    rng = random.Random(11)
+    base = fx.prose(rng, 80)
+    near = base.replace(base.split()[40], "changed", 1)
+    other = fx.prose(rng, 80)
+    rows = [(None, base), (4, near), (None, other), (7, base), (None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = near_join.near_duplicate_classes(frame)
+    assert sorted((r.class_id or -1, r.n_links) for r in found.collect()) == [(-1, 0), (-1, 0), (4, 1), (4, 1), (4, 1)]
+    assert sorted((r.doc_id or -1, r.text or "") for r in near_join.drop_near_duplicates(frame).collect()) == [(-1, ""), (-1, other), (4, near)]
+    assert {r.doc_id for r in exact_dedup.drop_exact_duplicates(frame).collect()} == {None, 4, 7}
+    assert exact_dedup.exact_groups(frame).count() == 5
+    for made in (repeats.remove_repeats(frame), bpe.encode(frame), pii.digest(pii.find_pii(frame)), secrets.digest(secrets.find_secrets(frame))):
+        assert sorted(r.doc_id or -1 for r in made.collect()) == [-1, -1, -1, 4, 7]
+
+
 def test_near_classes_of_a_large_group(spark, monkeypatch):
     """One group of near copies with pairs on both sides of the threshold, and small buckets, so
     that all depths are gone through."""
