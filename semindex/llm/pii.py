@@ -29,12 +29,12 @@ CARD = r"[0-9](?:[\x20\x2D]?+[0-9])++"
 # \+[0-9][\x20().0-9-]+[0-9]
 PHONE = r"\+[0-9][\x20().0-9\x2D]+[0-9]"
 # Added by this method: an IBAN in its written forms, confirmed by mod 97.
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]{4}){2,7}(?:\x20?+[A-Z0-9]{1,3})?+(?![A-Za-z0-9])"
+IBAN = r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?"
 
 #: Words that make a span likelier when they stand in the CONTEXT characters before it.
 CONTEXT_WORDS = {
     "email": r"(?i)mail|contact|write|kontakt|correo|courriel",
-    "ip": r"(?i)\bip\b|address|server|host|adresse",
+    "ip": r"(?i)[^a-z]ip[^a-z]|address|server|host|adresse",
     "card": r"(?i)card|visa|credit|payment|karte|carte|tarjeta",
     "phone": r"(?i)phone|call|tel|mobile|fax|contact|anruf",
     "iban": r"(?i)iban|account|bank|konto|compte|cuenta",
@@ -190,3 +190,46 @@ def digest(found: DataFrame) -> DataFrame:
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_pii(table(spark, sf_dir, "documents")))
+
+
+# --- the same in SQL ---------------------------------------------------------------------------
+
+#: The plain patterns, without what only saves time.
+_PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "iban": IBAN,
+}
+_DIGITS = "regexp_replace(m[i], '[^0-9]', '', 'g')"
+_CHECKS = {
+    "email": "true",
+    "ip": "len([1 FOR x IN string_split(m[i], '.') IF length(ltrim(x, '0')) > 3 OR lpad(ltrim(x, '0'), 3, '0') > '255']) = 0",
+    "card": f"length({_DIGITS}) BETWEEN 13 AND 19 AND list_sum([CASE WHEN j % 2 = 1 THEN c::INT WHEN c::INT > 4 THEN 2 * c::INT - 9 ELSE 2 * c::INT END FOR c, j IN string_split(reverse({_DIGITS}), '')]) % 10 = 0",
+    "phone": f"length({_DIGITS}) BETWEEN 9 AND 15",
+    "iban": "length(replace(m[i], ' ', '')) BETWEEN 15 AND 34 AND list_reduce(string_split(array_to_string([CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE (ascii(c) - 55)::VARCHAR END"
+    " FOR c IN string_split(replace(m[i], ' ', '')[5:] || replace(m[i], ' ', '')[:4], '')], ''), '')::INT[], lambda a, b: (a * 10 + b) % 97) = 1",
+}
+
+
+def _sql() -> str:
+    parts = []
+    for kind in KINDS:
+        pattern = _PLAIN[kind].replace("'", "''")
+        start = "coalesce(list_sum([length(x) FOR x IN p[1:i]]), 0) + coalesce(list_sum([length(x) FOR x IN m[1:i - 1]]), 0)"
+        score = f"{BASE_SCORE[kind]} + CASE WHEN regexp_matches(right(p[i], {CONTEXT}), '{CONTEXT_WORDS[kind]}') THEN {BONUS} ELSE 0.0 END"
+        rows = f"[{{'s': {start}, 'm': m[i], 'score': ({score})::DOUBLE}} FOR i IN range(1, len(m) + 1) IF {_CHECKS[kind]}]"
+        parts.append(f"{kind} AS (SELECT n, {rows} AS {kind} FROM (SELECT n, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS p FROM d))")
+    told = {k: f"[concat('{k}:', x.s, ':', x.s + length(x.m)) FOR x IN {k}]" for k in KINDS}
+    base = " || ".join(told[k] for k in KINDS[:4])
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS n FROM documents), {", ".join(parts)}
+SELECT doc_id, {", ".join(f"len({k}) AS n_{k}" for k in KINDS)}, sha256(array_to_string({base}, ',')) AS base_sha256,
+  array_to_string({base} || {told["iban"]}, ',') AS spans,
+  coalesce(list_max({" || ".join(f"[x.score FOR x IN {k}]" for k in KINDS)}), 0.0)::DOUBLE AS max_score
+FROM d {" ".join(f"JOIN {k} USING (n)" for k in KINDS)}
+"""
+
+
+SQL = _sql()

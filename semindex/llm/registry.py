@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_pii": pii.SQL,
     "op10_decontaminate": decontaminate.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
 }
