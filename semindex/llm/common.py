@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +66,27 @@ def without(docs: DataFrame, keys: list[Column], dropped: DataFrame) -> DataFram
     return docs.join(side, same, "left_anti")
 
 
+def tidy() -> None:
+    """Give freed memory back to the system. Python workers wait for their next task with all that
+    their allocators keep, beside an executor that fills its heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidied(function):
+    """A function for mapInArrow() that tidies up at the end of its task."""
+
+    @functools.wraps(function)
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            tidy()
+
+    return run
+
+
 def scan_parallelism(df: DataFrame) -> int:
     """Partitions for an exchange that carries about as much as the scan reads."""
     spark = df.sparkSession

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semindex.llm import textbytes as tb
-from semindex.llm.common import table
+from semindex.llm.common import table, tidied
 from semindex.llm.toxicity import crc_fold
 
 WINDOW, WIDTHS, FILTERS, DIM = 128, (2, 3, 4), 12, 6
@@ -205,7 +205,7 @@ def identify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     texts = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
-    return texts.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return texts.mapInArrow(tidied(run), "doc_id long, lang_pred string, score double")
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

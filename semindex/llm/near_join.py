@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semindex.llm import textbytes as tb
-from semindex.llm.common import cut, join_by_hot_key, scan_parallelism, table, without
+from semindex.llm.common import cut, join_by_hot_key, scan_parallelism, table, tidied, without
 from semindex.llm.graph import connected_components
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -240,11 +240,11 @@ def _verify(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
     chosen = cut(classes.select("cid", "rep", "fp1", "fp2").join(involved, "cid", "left_semi"))
     side = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
     reps = side.select("rep").distinct()
-    theirs = texts.join(reps, texts["doc_id"].eqNullSafe(reps["rep"]), "left_semi").mapInArrow(_sets, "doc_id long, fp1 long, fp2 long, u binary")
+    theirs = texts.join(reps, texts["doc_id"].eqNullSafe(reps["rep"]), "left_semi").mapInArrow(tidied(_sets), "doc_id long, fp1 long, fp2 long, u binary")
     # an id that repeats, or a null one, can stand for several texts: the set's fingerprint decides
     sets = theirs.alias("t").join(side.alias("s"), F.expr("t.doc_id <=> s.rep and t.fp1 = s.fp1 and t.fp2 = s.fp2")).groupBy("cid").agg(F.first("u").alias("u"))
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("u").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("u").alias("y")), "b")
-    return cut(both.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long, similarity double"))
+    return cut(both.select("a", "b", "x", "y").mapInArrow(tidied(_verified), "a long, b long, similarity double"))
 
 
 def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -252,7 +252,7 @@ def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     row; classes (cid, rep, size, fp1, fp2) a row for each distinct set; links (a, b, similarity)
     the verified pairs of classes."""
     texts = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
-    records = cut(texts.selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) h").mapInArrow(_records, RECORD))
+    records = cut(texts.selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) h").mapInArrow(tidied(_records), RECORD))
     wide = [f"t{k}" for k in range(DEPTH)]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "n", *SKETCH, *wide)).alias("r")
     grouped = records.groupBy("fp1", "fp2").agg(first, F.count(F.lit(1)).alias("size"))

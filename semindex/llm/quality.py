@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semindex.llm import textbytes as tb
-from semindex.llm.common import table
+from semindex.llm.common import table, tidied
 from semindex.llm.toxicity import crc_fold
 
 BUCKETS, DIM, NONZERO, REACH = 8192, 32, 4, 2
@@ -116,7 +116,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         if len(used):
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *[pa.array(sums[used, j]) for j in range(DIM)]], names=["bucket", *[f"x{j}" for j in range(DIM)]])
 
-    rows = docs.selectExpr(f"cast(`{text_col}` as string) text").mapInArrow(run, _SUMS).groupBy("bucket").agg(*[F.sum(f"x{j}").alias(f"x{j}") for j in range(DIM)])
+    rows = docs.selectExpr(f"cast(`{text_col}` as string) text").mapInArrow(tidied(run), _SUMS).groupBy("bucket").agg(*[F.sum(f"x{j}").alias(f"x{j}") for j in range(DIM)])
     out = np.zeros((BUCKETS, DIM))
     for r in rows.collect():  # BUCKETS rows at most
         out[r[0]] = r[1:]
@@ -207,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, fold_is, id_c
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")).join(F.broadcast(ids), "_id").selectExpr("_id", "_t", "_y")
     # ids that repeat give several rows; sorted, so that the fit doesn't depend on their order
-    found = sorted((r[0], r[1], tuple(r[2])) for r in rows.mapInArrow(run, "_id long, _y int, x array<double>").toLocalIterator())
+    found = sorted((r[0], r[1], tuple(r[2])) for r in rows.mapInArrow(tidied(run), "_id long, _y int, x array<double>").toLocalIterator())
     return fit(np.array([r[2] for r in found], float), np.array([r[1] for r in found], float))
 
 
@@ -220,7 +220,7 @@ def score_quality(docs: DataFrame, vectors: np.ndarray, net: Network, id_col: st
             table_, network = sent.value
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(network.score(pooled(batch.column(1), table_).astype(np.float64)), pa.float64())], names=["doc_id", "score"])
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, "doc_id long, score double")
+    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(tidied(run), "doc_id long, score double")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semindex.llm import textbytes as tb
-from semindex.llm.common import cut, scan_parallelism, table
+from semindex.llm.common import cut, scan_parallelism, table, tidied
 
 LENGTH, GRAM, STEP = 200, 32, 16
 SEGMENT = 1 << 19
@@ -132,10 +132,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                 yield pa.RecordBatch.from_arrays([ids.take(d_row), hashes.take(d_row), pa.array(place, _I), _signed(c1), _signed(c2)], names=["_id", "_h", "place", "c1", "c2"])
 
     # passes 1 and 2: the kind of each covered text. Both counts use one exchange by gram.
-    texts = docs.mapInArrow(digits, "g long, c1 long, c2 long, n long").repartition(parts, "g").groupBy("g", "c1", "c2").agg(F.sum("n").alias("n"))
+    texts = docs.mapInArrow(tidied(digits), "g long, c1 long, c2 long, n long").repartition(parts, "g").groupBy("g", "c1", "c2").agg(F.sum("n").alias("n"))
     grams = texts.groupBy("g").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("texts")).filter("all > 1")
     kinds = cut(texts.join(grams.hint("shuffle_hash"), "g").selectExpr("c1", "c2", "g", "n > 1 as whole", "texts > 1 as mixed"))
-    found = docs.mapInArrow(ranges, "_id long, _h long, place long, c1 long, c2 long")
+    found = docs.mapInArrow(tidied(ranges), "_id long, _h long, place long, c1 long, c2 long")
     found = cut(found.join(kinds.hint("merge"), ["c1", "c2"]))
     first = F.shiftright("place", 16)
     last = first + F.col("place").bitwiseAND(255)
@@ -164,7 +164,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     run = "_id long, _h long, lo long, n long, k1 long, k2 long, u1 long, u2 long, full boolean"
     cores, wholes = "(partition by k1, k2)", "(partition by k1, k2, u1, u2)"
     kept = (
-        _texts_with(docs, mixed).mapInArrow(runs, run)
+        _texts_with(docs, mixed).mapInArrow(tidied(runs), run)
         .selectExpr("*", f"count(1) over {cores} as alike", f"row_number() over {wholes[:-1]} order by _id, _h, lo) as nth", f"count(1) over {wholes} as same")
         .filter("alike > 1")
         .selectExpr("*", "full and same > 1 as whole")
@@ -185,7 +185,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             yield _rows(ids, hashes, len(at), {"s": at, "k1": k1, "k2": k2})
 
     left = kept.filter("on").selectExpr("_id", "_h", "lo * 65536 + n as place", "0L as g")
-    each = _texts_with(docs, left).mapInArrow(strings, "_id long, _h long, s long, k1 long, k2 long")
+    each = _texts_with(docs, left).mapInArrow(tidied(strings), "_id long, _h long, s long, k1 long, k2 long")
     each = each.selectExpr("_id", "_h", "s", "count(1) over (partition by k1, k2) as n").filter("n > 1")
     return spans.unionByName(each.selectExpr("_id", "_h", "s", f"s + {length} as e"))
 
@@ -260,7 +260,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             kinds = [_I, _I, _I, pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return joined.mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return joined.mapInArrow(tidied(apply), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def merge(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:

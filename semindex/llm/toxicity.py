@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semindex.llm.common import table
+from semindex.llm.common import table, tidied, tidy
 
 FIT_ROWS = 20_000
 MAX_ENTRIES = 2_000
@@ -147,9 +147,14 @@ def fit(rows: list[tuple[str | None, int]]) -> Lexicon:
     from collections import Counter
 
     n1: Counter = Counter()
+    for t, y in rows:
+        if y:
+            n1.update(candidates(t))
+    n1 = Counter({key: n for key, n in n1.items() if n >= MIN_DOCS})  # rarer ones can't become entries
     n0: Counter = Counter()
     for t, y in rows:
-        (n1 if y else n0).update(candidates(t))
+        if not y:
+            n0.update(key for key in candidates(t) if key in n1)
     found = []
     for key, a in n1.items():
         b = n0.get(key, 0)
@@ -230,7 +235,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", te
             texts = [x.as_py() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([lexicon.score(t) for t in texts], pa.float64())], names=["doc_id", "score"])
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, "doc_id long, score double")
+    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(tidied(run), "doc_id long, score double")
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -238,7 +243,9 @@ def drop_toxic(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", thresh
 
     @F.arrow_udf("boolean")
     def clean(texts: pa.Array) -> pa.Array:
-        return pa.array([lexicon.score(x.as_py()) < threshold for x in texts], pa.bool_())
+        found = pa.array([lexicon.score(x.as_py()) < threshold for x in texts], pa.bool_())
+        tidy()
+        return found
 
     return docs.filter(clean(F.col(text_col).cast("string")))
 
