@@ -30,12 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semindex.llm.common import scan_parallelism, table
+from semindex.llm.common import scan_parallelism, table, tidied, tidy
 
 BLOCK_CHARS = 24_000_000
 VOCABULARY = "word_bpe_49k.json"
 #: Distinct words that a task remembers; beyond it the memory starts anew (a word may then be encoded again).
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 
 
 def default_path() -> str:
@@ -115,18 +115,21 @@ class Words:
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, np.ndarray] = {}
+        self.kind = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() <= 65536 else np.uint32)
+        self.known: dict[bytes, bytes] = {}
 
-    def ids(self, words: list[bytes]) -> list[np.ndarray]:
+    def ids(self, words: list[bytes]) -> tuple[np.ndarray, bytes]:
+        """(number of ids of each word, all ids as bytes of ``kind``)."""
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
         new = [w for w in words if w not in known]
-        for i in range(0, len(new), 10_000):
-            some = new[i : i + 10_000]
+        for i in range(0, len(new), 2_000):
+            some = new[i : i + 2_000]
             for w, e in zip(some, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, np.uint32)
-        return [known[w] for w in words]
+                known[w] = np.array(e.ids, self.kind).tobytes()
+        found = [known[w] for w in words]
+        return np.fromiter(map(len, found), np.uint32, len(found)) // np.uint32(self.kind.itemsize), b"".join(found)
 
 
 def pieces(vocabulary: str) -> list[str]:
@@ -150,7 +153,9 @@ def encode(
     """The named COLUMNS of every row."""
     wanted = [c for c in COLUMNS if c in columns]
     with open(path or default_path(), encoding="utf-8") as file:  # a small public file beside the library, on the driver
-        vocabulary = docs.sparkSession.sparkContext.broadcast(file.read())
+        told = file.read()
+    context = docs.sparkSession.sparkContext
+    vocabulary, id_pieces = context.broadcast(told), context.broadcast(pieces(told))
     parts = min(8191, max(17, scan_parallelism(docs) | 1))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,11 +187,9 @@ def encode(
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[3] == 1:
                     words = words or Words(vocabulary.value)
-                    kind = np.dtype(np.uint16 if words.tokenizer.get_vocab_size() <= 65536 else np.uint32)
                     mine = pa.decompress(row[5], decompressed_size=int(row[6]), codec="zstd", asbytes=True).split(b" ")
-                    ids = words.ids(mine)
-                    lengths = np.fromiter(map(len, ids), np.uint32, len(ids))
-                    row = (*row[:5], _pack(lengths), _squeeze(np.concatenate(ids).astype(kind).tobytes()) if lengths.sum() else b"", row[7], str(int(lengths.sum())).encode(), str(kind.itemsize).encode())
+                    lengths, ids = words.ids(mine)
+                    row = (*row[:5], _pack(lengths), _squeeze(ids) if ids else b"", row[7], str(int(lengths.sum())).encode(), str(words.kind.itemsize).encode())
                 yield _batch([row])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +202,7 @@ def encode(
                     held, current = {}, row[2]
                 if row[3] == 1:
                     if table_ is None:
-                        table_ = np.array(pieces(vocabulary.value), object), np.array([str(i) for i in range(len(pieces(vocabulary.value)))], object)
+                        table_ = np.array(id_pieces.value, object), np.array([str(i) for i in range(len(id_pieces.value))], object)
                     lengths, total = _unpack(row[5], row[4], np.uint32), int(row[8])
                     kind = np.dtype(f"u{int(row[9])}")
                     ids = np.frombuffer(pa.decompress(row[6], decompressed_size=total * kind.itemsize, codec="zstd", asbytes=True), kind) if total else np.zeros(0, kind)
@@ -226,6 +229,8 @@ def encode(
                 counts = _unpack(row[6], n_docs, np.uint32).astype(np.int64)
                 at = _unpack(row[7], int(counts.sum()), np.uint32) if counts.sum() else np.zeros(0, np.uint32)
                 yield from results(np.frombuffer(row[5][: 8 * n_docs], np.int64), np.frombuffer(row[5][8 * n_docs :], np.uint8), counts, at, number, piece, lengths, first, np.concatenate(every))
+                del number, piece, lengths, first, every, at, part
+                tidy()
 
     def results(doc_ids, null, counts, at, number, piece, lengths, first, every) -> Iterator[pa.RecordBatch]:
         ends = np.cumsum(counts)
@@ -250,10 +255,10 @@ def encode(
             out["decoded"] = pa.array(texts, pa.string()) if "decoded" in wanted else None
             yield pa.RecordBatch.from_arrays([out[c] for c in wanted], names=wanted)
 
-    moved = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(split, MOVED)
-    encoded = moved.repartitionById(parts, F.col("dest")).mapInArrow(encode_words, MOVED)
+    moved = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(tidied(split), MOVED)
+    encoded = moved.repartitionById(parts, F.col("dest")).mapInArrow(tidied(encode_words), MOVED)
     met = encoded.repartitionById(parts, F.pmod(F.col("home"), F.lit(parts)).cast("int")).sortWithinPartitions("block", F.desc("kind"))
-    return met.mapInArrow(join, ", ".join(f"{c} {COLUMNS[c]}" for c in wanted))
+    return met.mapInArrow(tidied(join), ", ".join(f"{c} {COLUMNS[c]}" for c in wanted))
 
 
 def piece_table(spark: SparkSession, path: str | None = None) -> DataFrame:

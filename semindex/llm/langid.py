@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semindex.llm import textbytes as tb
-from semindex.llm.common import table, tidied
+from semindex.llm.common import table, tidied, tidy
 from semindex.llm.toxicity import crc_fold
 
 WINDOW, WIDTHS, FILTERS, DIM = 128, (2, 3, 4), 12, 6
@@ -168,7 +168,9 @@ def train(docs: DataFrame, fold_is, id_col: str = "doc_id", text_col: str = "tex
     rows = rows.filter(F.col("_y").isNotNull() & F.col("_id").isNotNull() & F.col("_t").rlike(r"\p{L}")).filter(fold_is)
     # ids first, so that texts are read for the chosen rows only
     ids = F.broadcast(rows.select("_id").distinct().orderBy(F.xxhash64("_id"), "_id").limit(FIT_ROWS))
-    return fit([(r[0], r[1]) for r in rows.join(ids, "_id").select("_t", "_y").toLocalIterator()])
+    net = fit([(r[0], r[1]) for r in rows.join(ids, "_id").select("_t", "_y").toLocalIterator()])
+    tidy()
+    return net
 
 
 def identify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

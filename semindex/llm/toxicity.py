@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from semindex.llm.common import table, tidied, tidy
 
-FIT_ROWS = 20_000
+FIT_ROWS = 10_000
 MAX_ENTRIES = 2_000
 MIN_DOCS = 5
 THRESHOLD = 0.3
@@ -256,7 +256,9 @@ def crc_fold(divisor: int, id_col: str = "_id"):
 
 def train(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> Lexicon:
     docs = table(spark, sf_dir, "documents") if docs is None else docs
-    return fit(labelled(docs, table(spark, sf_dir, "labels"), "toxic", crc_fold(4) != 2, FIT_ROWS))
+    lexicon = fit(labelled(docs, table(spark, sf_dir, "labels"), "toxic", crc_fold(4) != 2, FIT_ROWS))
+    tidy()  # the driver, too, gives back what the fit took
+    return lexicon
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
