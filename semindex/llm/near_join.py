@@ -13,8 +13,11 @@ others, so that a group of near copies becomes a few stars instead of all its pa
 get one label. Then buckets that still hold several labels are compared across labels: pair by pair
 up to BUCKET sets; larger ones split again, their sets follow shingles by fresh hashes to the depth
 DEPTH, and the paths are the new buckets. What is large even at the last depth is compared pair by
-pair all the same: no bucket is cut short. Pairs of one label need no comparison: links say what is
-connected.
+pair all the same: no bucket is cut short. Pairs of one label need no comparison to find the classes.
+
+Links are counted afterwards: two sets that match are of one class, so all sets of a class are
+compared to each other, in blocks of CELL shingles, exactly and without rows for pairs. The work for
+a class grows with the square of its distinct sets.
 
 Comparison is a bit sketch first (some bits of the smallest hash of each bin), then the exact similarity on the sets.
 Only narrow rows are shuffled; sets travel only for pairs that pass the sketch.
@@ -47,6 +50,8 @@ WORDS = BINS * BITS // 64
 #: Standard deviations above the expected number of different bins of matching sets.
 SIGMAS = 4.0
 BROADCAST_IDS = 1_000_000
+#: Shingles of a block of a class's sets, about.
+CELL = 1 << 16
 #: Rounds of stars at most; each takes other pivots, and ends early if nothing new is linked.
 STARS, PIVOTS = 2, 4
 
@@ -134,6 +139,41 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out.filter(ok)
 
 
+def _matches(x: list[np.ndarray], y: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    """How many sets of the other side each set of ``x`` and of ``y`` matches; of its own side if
+    ``y`` is None."""
+    other = x if y is None else y
+    sizes = np.array([len(v) for v in other])
+    flat = np.concatenate(other)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], np.repeat(np.arange(len(other)), sizes)[order]
+    ours, theirs = np.zeros(len(x), np.int64), np.zeros(len(other), np.int64)
+    for i, u in enumerate(x):
+        low = np.searchsorted(flat, u)
+        many = np.searchsorted(flat, u, "right") - low
+        at = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+        shared = np.bincount(owner[at], minlength=len(other))
+        good = shared / (len(u) + sizes - shared) >= THRESHOLD
+        if y is None:
+            good[i] = False
+        ours[i] = good.sum()
+        theirs += good
+    return ours, theirs
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for x, y in zip(batch.column(0), batch.column(1), strict=True):
+            cids, sets = [], []
+            for side in (x, y):
+                if side.is_valid:
+                    cids.append(side.values.field(0))
+                    sets.append([np.frombuffer(u.as_buffer(), tb.U) for u in side.values.field(1)])
+            found = _matches(sets[0], sets[1] if len(sets) > 1 else None)
+            for c, n in zip(cids, found, strict=False):
+                yield pa.RecordBatch.from_arrays([c, pa.array(n, pa.int64())], names=["cid", "n"])
+
+
 def _different_bins(a: str, b: str) -> Column:
     mask = F.lit(0x1111111111111111)
     total = F.lit(0)
@@ -234,23 +274,47 @@ def _cross_pairs(classes: DataFrame, rows: DataFrame) -> DataFrame:
         rows = deeper.select(*_MEMBER, F.explode(F.get("t", F.col("run"))).alias("tok")).withColumn("key", F.xxhash64("key", "tok")).select(*_MEMBER).distinct()
 
 
-def _verify(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, similarity) of the pairs whose sets match exactly computed. (Checkpointed.)"""
-    involved = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    chosen = cut(classes.select("cid", "rep", "fp1", "fp2").join(involved, "cid", "left_semi"))
+def _sets_of(texts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(cid, u): the shingles of the classes of ``chosen`` (cid, rep, fp1, fp2; checkpointed)."""
     side = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
     reps = side.select("rep").distinct()
     theirs = texts.join(reps, texts["doc_id"].eqNullSafe(reps["rep"]), "left_semi").mapInArrow(tidied(_sets), "doc_id long, fp1 long, fp2 long, u binary")
     # an id that repeats, or a null one, can stand for several texts: the set's fingerprint decides
-    sets = theirs.alias("t").join(side.alias("s"), F.expr("t.doc_id <=> s.rep and t.fp1 = s.fp1 and t.fp2 = s.fp2")).groupBy("cid").agg(F.first("u").alias("u"))
+    return theirs.alias("t").join(side.alias("s"), F.expr("t.doc_id <=> s.rep and t.fp1 = s.fp1 and t.fp2 = s.fp2")).groupBy("cid").agg(F.first("u").alias("u"))
+
+
+def _verify(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, similarity) of the pairs whose sets match exactly computed. (Checkpointed.)"""
+    involved = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+    sets = _sets_of(texts, cut(classes.select("cid", "rep", "fp1", "fp2").join(involved, "cid", "left_semi")))
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("u").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("u").alias("y")), "b")
     return cut(both.select("a", "b", "x", "y").mapInArrow(tidied(_verified), "a long, b long, similarity double"))
 
 
+def _cells(rows: DataFrame, key: str, member: list[str]) -> DataFrame:
+    """(x, y): all pairs of blocks of each ``key``, as lists of ``member``; y is null where a block
+    meets itself. ``rows`` has cid and ``blocks``, the number of blocks of its key."""
+    packed = rows.groupBy(key, "blocks", F.pmod(F.xxhash64("cid"), "blocks").alias("block")).agg(F.collect_list(F.struct(*member)).alias("m"))
+    sent = packed.select(key, "block", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    cells = sent.groupBy(key, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list("m").alias("sides"))
+    # a block that no set fell into leaves the other side alone
+    return cells.filter("i = j or size(sides) = 2").select(F.get("sides", F.lit(0)).alias("x"), F.get("sides", F.lit(1)).alias("y"))
+
+
+def _link_counts(texts: DataFrame, classes: DataFrame, parts: DataFrame) -> DataFrame:
+    """(cid, n_links): how many other sets match each set of ``parts`` (node, component), all sets of
+    a component compared to each other."""
+    chosen = cut(classes.select("cid", "rep", "fp1", "fp2", "n").join(parts.select(F.col("node").alias("cid"), "component"), "cid"))
+    blocks = chosen.groupBy("component").agg(F.ceil(F.sum("n") / CELL).cast("long").alias("blocks"))
+    of = cut(chosen.select("cid", "component").join(blocks, "component"))
+    cells = _cells(_sets_of(texts, chosen.select("cid", "rep", "fp1", "fp2")).join(of, "cid"), "component", ["cid", "u"])
+    return cells.mapInArrow(tidied(_counted), "cid long, n long").groupBy("cid").agg(F.sum("n").alias("n_links"))
+
+
 def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, classes, links): members (doc_id, fp1, fp2, text_hash) has a row for each input
-    row; classes (cid, rep, size, fp1, fp2) a row for each distinct set; links (a, b, similarity)
-    the verified pairs of classes."""
+    row; classes (cid, rep, size, n, fp1, fp2) a row for each distinct set; links (a, b, similarity)
+    verified pairs of classes, enough of them to connect all that match."""
     texts = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
     records = cut(texts.selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) h").mapInArrow(tidied(_records), RECORD))
     wide = [f"t{k}" for k in range(DEPTH)]
@@ -270,23 +334,26 @@ def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     # then members of different labels against each other, wherever a bucket still holds several
     labelled = rows.select("key", "run", "cid").join(labels, "cid").select(*_MEMBER)
     links = stars.unionByName(_verify(texts, classes, _cross_pairs(classes, labelled)))
-    return records.select("doc_id", "fp1", "fp2", "text_hash"), classes.select("cid", "rep", "size", "fp1", "fp2"), links
+    return records.select("doc_id", "fp1", "fp2", "text_hash"), classes.select("cid", "rep", "size", "n", "fp1", "fp2"), links
 
 
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_hash: bool = False) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_hash: bool = False, with_links: bool = True) -> DataFrame:
     """One row for each input row: doc_id, class_id (smallest id among all documents that links
-    connect), n_links (links of its set to other sets that were verified; sets that links connect
-    already are not compared again), text_class (smallest id with the same set), n_same (documents
-    with that set). ``with_hash`` adds text_hash and class_key, which is the class's own number."""
+    connect), n_links (other sets that match its set), text_class (smallest id with the same set),
+    n_same (documents with that set). ``with_hash`` adds text_hash and class_key, which is the
+    class's own number; without ``with_links`` there is no n_links, and nothing is counted for it."""
     members, classes, links = near_join(docs, id_col, text_col)
-    parts = connected_components(links)
-    ends = links.select(F.col("a").alias("cid")).unionByName(links.select(F.col("b").alias("cid")))
-    degree = ends.groupBy("cid").agg(F.count(F.lit(1)).alias("n_links"))
+    parts = cut(connected_components(links))
     linked = classes.select("cid", "rep").join(parts.withColumnRenamed("node", "cid"), "cid")
     root = linked.groupBy("component").agg(F.min("rep").alias("class_id"))
-    of = linked.join(root, "component").join(degree, "cid").select("cid", "component", "class_id", "n_links")
+    of = linked.join(root, "component").select("cid", "component", "class_id")
+    counts = []
+    if with_links:
+        texts = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
+        of = of.join(_link_counts(texts, classes, parts), "cid")
+        counts = [F.coalesce("n_links", F.lit(0)).alias("n_links")]
     whole = classes.join(of, "cid", "left").select(
-        "fp1", "fp2", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        "fp1", "fp2", F.coalesce("class_id", "rep").alias("class_id"), *counts,
         F.col("rep").alias("text_class"), F.col("size").alias("n_same"), F.coalesce("component", "cid").alias("class_key"),
     )
     found = join_by_hot_key(members, cut(whole), ["fp1", "fp2"], "n_same").drop("fp1", "fp2")
@@ -297,7 +364,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One row of ``docs`` for each class, with its own columns: that with the smallest id, and of
     rows with that id the one whose text hashes lowest."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    classes = cut(near_duplicate_classes(docs, id_col, text_col, with_hash=True).select("doc_id", "class_key", "text_hash"))
+    classes = cut(near_duplicate_classes(docs, id_col, text_col, with_hash=True, with_links=False).select("doc_id", "class_key", "text_hash"))
     # the narrow rows of a hot class meet as one minimum of each task
     kept = classes.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "text_hash")).alias("k"))
     kept = kept.select(F.col("k.doc_id").alias("doc_id"), F.col("k.text_hash").alias("text_hash"))

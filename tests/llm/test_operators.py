@@ -128,6 +128,27 @@ def test_near_classes_of_a_large_group(spark, monkeypatch):
     assert dict(pairs(near_join.near_duplicate_classes(frame), "doc_id", "class_id")) == want
 
 
+def test_near_links_are_all_counted(spark, monkeypatch):
+    """A group whose sets mostly match each other: n_links by brute force, in blocks and however
+    the rows are dealt out."""
+    monkeypatch.setattr(near_join, "CELL", 1000)
+    rng = random.Random(7)
+    base = fx.prose(rng, 120).split()
+    rows = [(1000, fx.prose(rng, 60)), (1001, "")]
+    for i in range(60):
+        words = list(base)
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(len(words))] = f"w{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    sets = {i: frozenset(fx.shingle_set(t)) for i, t in rows}
+    distinct = set(sets.values()) - {frozenset()}
+    want = {i: sum(a != b and len(a & b) / len(a | b) >= 0.8 for b in distinct) if a else 0 for i, a in sets.items()}
+    assert max(want.values()) > 30
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 5):
+        assert dict(pairs(near_join.near_duplicate_classes(frame.repartition(parts)), "doc_id", "n_links")) == want
+
+
 def test_repeats(docs, rows):
     found = repeats.remove_repeats(docs)
     assert pairs(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == fx.repeats(rows)
