@@ -235,17 +235,16 @@ _MEMBER = ["key", "run", "cid", "label"]
 
 
 def _open_buckets(rows: DataFrame) -> DataFrame:
-    """Members of buckets whose sets are not all of one label yet, with size and ``keys`` (all open
-    buckets of the set). (Checkpointed.)"""
+    """Members of buckets whose sets are not all of one label yet, with size. (Checkpointed.)"""
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low <> _high")
-    found = rows.join(sizes.select("key", "size"), "key")
-    # a set follows a few shingles at each depth, whatever its size
-    return cut(found.join(found.groupBy("cid").agg(F.collect_set("key").alias("keys")), "cid"))
+    return cut(rows.join(sizes.select("key", "size"), "key"))
 
 
 def _in_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a < b) of different labels within buckets that may match, each in one bucket only:
-    the smallest that both are in."""
+    """Pairs (a < b) of different labels within the buckets of ``rows`` that may match, each in one
+    bucket only: the smallest of these that both are in."""
+    # a set follows a few shingles at each depth, whatever its size
+    rows = rows.join(rows.groupBy("cid").agg(F.collect_set("key").alias("keys")), "cid")
     rows = rows.join(classes.select("cid", "n", *SKETCH), "cid")
     a, b = rows.alias("a"), rows.alias("b")
     apart = (F.col("a.cid") < F.col("b.cid")) & (F.col("a.label") != F.col("b.label"))

@@ -149,6 +149,22 @@ def test_near_links_are_all_counted(spark, monkeypatch):
         assert dict(pairs(near_join.near_duplicate_classes(frame.repartition(parts)), "doc_id", "n_links")) == want
 
 
+def bucket_pairs(spark, buckets):
+    """Pairs that _cross_pairs() finds in ``buckets`` (key to cids); all sketches are equal, labels
+    are the cids, and no set follows any shingle further down."""
+    cids = sorted({c for members in buckets.values() for c in members})
+    facts = ", ".join(f"{c} long" for c in near_join.SKETCH)
+    empty = [[] for _ in range(near_join.RUNS)]
+    classes = spark.createDataFrame([(c, 100, *[0] * near_join.WORDS, empty, empty) for c in cids], f"cid long, n int, {facts}, t1 array<array<bigint>>, t2 array<array<bigint>>")
+    rows = spark.createDataFrame([(k, 0, c, c) for k, members in buckets.items() for c in members], "key long, run int, cid long, label long")
+    return pairs(near_join._cross_pairs(classes, rows), "a", "b")
+
+
+def test_near_pair_of_a_small_and_a_large_bucket(spark, monkeypatch):
+    monkeypatch.setattr(near_join, "BUCKET", 4)
+    assert (0, 1) in bucket_pairs(spark, {1: range(9), 2: (0, 1)})
+
+
 def test_repeats(docs, rows):
     found = repeats.remove_repeats(docs)
     assert pairs(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == fx.repeats(rows)
