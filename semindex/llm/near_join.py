@@ -10,10 +10,11 @@ that follow the same shingle are a bucket.
 
 First each member of a bucket is compared to the bucket's pivot, the one that shares most with
 others, so that a group of near copies becomes a few stars instead of all its pairs; connected sets
-get one label. Then buckets that still hold several labels are compared across labels: pair by pair
-up to BUCKET sets; larger ones split again, their sets follow shingles by fresh hashes to the depth
-DEPTH, and the paths are the new buckets. What is large even at the last depth is compared pair by
-pair all the same: no bucket is cut short. Pairs of one label need no comparison to find the classes.
+get one label. Then buckets that still hold several labels are compared across labels: as a
+join up to BUCKET sets; larger ones in blocks of about BUCKET sets, every block with every other. No
+bucket is cut short or thinned, so what a pair is found by doesn't depend on sizes; the work for a
+large bucket grows with the square of its sets. Pairs of one label need no comparison to find the
+classes.
 
 Links are counted afterwards: two sets that match are of one class, so all sets of a class are
 compared to each other, in blocks of CELL shingles, exactly and without rows for pairs. The work for
@@ -43,7 +44,7 @@ from semindex.llm.common import cut, join_by_hot_key, scan_parallelism, table, t
 from semindex.llm.graph import connected_components
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
-SPREAD, DEEPER, DEPTH, BUCKET = 2.0, 2.0, 3, 1024
+SPREAD, BUCKET = 2.0, 1024
 #: Sketch: the smallest hash of each of BINS bins, BITS bits of it, WORDS numbers of 64 bits.
 BINS, BITS = 256, 4
 WORDS = BINS * BITS // 64
@@ -56,9 +57,8 @@ CELL = 1 << 16
 STARS, PIVOTS = 2, 4
 
 RUNS = math.ceil(-math.log(1 - RECALL) / (THRESHOLD * SPREAD))
-LEVELS = ", ".join(f"t{k} array<array<bigint>>" for k in range(DEPTH))
 SKETCH = [f"s{i}" for i in range(WORDS)]
-RECORD = f"doc_id long, text_hash long, fp1 long, fp2 long, n int, {', '.join(f'{c} long' for c in SKETCH)}, {LEVELS}"
+RECORD = f"doc_id long, text_hash long, fp1 long, fp2 long, n int, {', '.join(f'{c} long' for c in SKETCH)}, t0 array<array<bigint>>"
 
 
 def fingerprint(u: np.ndarray) -> tuple[int, int]:
@@ -85,15 +85,13 @@ def _limit(rate: float, n: int, bits: int) -> int:
     return min(1 << bits, math.ceil(rate / n * (1 << bits)))
 
 
-def followed(u: np.ndarray) -> list[list[list[int]]]:
-    """By depth and run, the shingles that a set follows."""
-    out: list[list[list[int]]] = [[] for _ in range(DEPTH)]
+def followed(u: np.ndarray) -> list[list[int]]:
+    """By run, the shingles that a set follows."""
+    out: list[list[int]] = []
     for run in range(RUNS):
         r = tb.mix(u ^ tb.U(0xA24BAED4963EE407 * (run + 1) & 0xFFFFFFFFFFFFFFFF))
-        for depth in range(DEPTH):  # disjoint bits of the run's hash decide at each depth
-            part = (r >> tb.U(21 * depth)) & tb.U((1 << 21) - 1)
-            chosen = r[part < tb.U(_limit(DEEPER if depth else SPREAD, len(u), 21))]
-            out[depth].append(chosen.view(np.int64).tolist())
+        chosen = r[(r & tb.U((1 << 21) - 1)) < tb.U(_limit(SPREAD, len(u), 21))]
+        out.append(chosen.view(np.int64).tolist())
     return out
 
 
@@ -105,11 +103,11 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for u in tb.shingles(data, offsets, SHINGLE):
                 if len(u):
-                    rows.append((*fingerprint(u), len(u), *sketch(u), *followed(u)))
+                    rows.append((*fingerprint(u), len(u), *sketch(u), followed(u)))
                 else:
-                    rows.append((0, 0, 0, *[0] * WORDS, *[[] for _ in range(DEPTH)]))
+                    rows.append((0, 0, 0, *[0] * WORDS, []))
             columns = list(zip(*rows, strict=True))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * WORDS, *[nested] * DEPTH]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * WORDS, nested]
             own = [batch.column(i).slice(first, end - first) for i in (0, 2)]
             yield pa.RecordBatch.from_arrays([*own, *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=names)
 
@@ -200,6 +198,46 @@ def _near(a: str, b: str) -> Column:
     return (less >= THRESHOLD * more) & (_different_bins(a, b) <= F.least(apart, most))
 
 
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of different labels in cells that pass what _near() asks for."""
+    mask, half = tb.U(0x1111111111111111), WORDS // 2
+
+    def different(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        v = x ^ y
+        v |= v >> tb.U(1)
+        v |= v >> tb.U(2)
+        return np.bitwise_count(v & mask)
+
+    p = 1 - THRESHOLD
+    bound = p * BINS + SIGMAS * (p * (1 - p) * BINS) ** 0.5
+    for batch in batches:
+        for x, y in zip(batch.column(0), batch.column(1), strict=True):
+            sides = []
+            for side in (x, y if y.is_valid else x):
+                fields = [side.values.field(f).to_numpy() for f in range(3 + WORDS)]
+                sides.append((*fields[:3], [f.view(tb.U) for f in fields[3:]]))
+            (cx, lx, nx, sx), (cy, ly, ny, sy) = sides
+            out = []
+            for i in range(0, len(cx), 64):
+                to = slice(i, i + 64)
+                less, more = np.minimum(nx[to, None], ny), np.maximum(nx[to, None], ny)
+                may = (lx[to, None] != ly) & (less >= THRESHOLD * more)
+                most = np.minimum((less + more) * ((1 - THRESHOLD) / (1 + THRESHOLD)) + 1e-6, bound)
+                if not y.is_valid:
+                    may &= cx[to, None] < cy
+                first = np.zeros(may.shape, np.uint8)
+                for w in range(half):  # unrelated sets differ in too many bins of half the sketch already
+                    first += different(sx[w][to, None], sy[w])
+                a, b = np.nonzero(may & (first <= most))
+                total = first[a, b].astype(np.int64)
+                for w in range(half, WORDS):
+                    total += different(sx[w][to][a], sy[w][b])
+                good = total <= most[a, b]
+                out.append((cx[to][a[good]], cy[b[good]]))
+            a, b = (np.concatenate([o[k] for o in out]) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
 def _with_sketches(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) that pass _near()."""
     facts = classes.select("cid", "n", *SKETCH)
@@ -208,10 +246,8 @@ def _with_sketches(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _followers(classes: DataFrame) -> DataFrame:
-    """(key, run, cid): who follows what at the first depth, in buckets of at least two sets.
-    (Checkpointed.)"""
-    t0 = classes.select(F.posexplode("t0").alias("run", "toks"), "cid")
-    rows = t0.select(F.explode("toks").alias("key"), "run", "cid")
+    """(key, cid): who follows what, in buckets of at least two sets. (Checkpointed.)"""
+    rows = classes.select(F.explode(F.flatten("t0")).alias("key"), "cid")
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     return cut(rows.join(sizes, "key"))
 
@@ -231,9 +267,6 @@ def _stars(rows: DataFrame, classes: DataFrame, labels: DataFrame, turn: int) ->
     return cut(_with_sketches(pairs, classes))
 
 
-_MEMBER = ["key", "run", "cid", "label"]
-
-
 def _open_buckets(rows: DataFrame) -> DataFrame:
     """Members of buckets whose sets are not all of one label yet, with size. (Checkpointed.)"""
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low <> _high")
@@ -243,7 +276,7 @@ def _open_buckets(rows: DataFrame) -> DataFrame:
 def _in_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a < b) of different labels within the buckets of ``rows`` that may match, each in one
     bucket only: the smallest of these that both are in."""
-    # a set follows a few shingles at each depth, whatever its size
+    # a set follows a few shingles, whatever its size
     rows = rows.join(rows.groupBy("cid").agg(F.collect_set("key").alias("keys")), "cid")
     rows = rows.join(classes.select("cid", "n", *SKETCH), "cid")
     a, b = rows.alias("a"), rows.alias("b")
@@ -255,22 +288,27 @@ def _in_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b")).coalesce(scan_parallelism(rows))
 
 
+def _cells(rows: DataFrame, key: str, member: list[str]) -> DataFrame:
+    """(x, y): all pairs of blocks of each ``key``, as lists of ``member``; y is null where a block
+    meets itself. ``rows`` has cid and ``blocks``, the number of blocks of its key."""
+    packed = rows.groupBy(key, "blocks", F.pmod(F.xxhash64("cid"), "blocks").alias("block")).agg(F.collect_list(F.struct(*member)).alias("m"))
+    sent = packed.select(key, "block", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    cells = sent.groupBy(key, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list("m").alias("sides"))
+    # a block that no set fell into leaves the other side alone
+    return cells.filter("i = j or size(sides) = 2").select(F.get("sides", F.lit(0)).alias("x"), F.get("sides", F.lit(1)).alias("y"))
+
+
 def _cross_pairs(classes: DataFrame, rows: DataFrame) -> DataFrame:
-    """Distinct pairs of sets of different labels that share a path and pass the sketch; ``rows``
-    are the members of all buckets of the first depth, with labels. (Checkpointed.)"""
-    found = None
-    for depth in range(1, DEPTH + 1):
-        mixed = _open_buckets(rows)
-        if depth == DEPTH:
-            return cut(found.unionByName(_in_pairs(mixed, classes)).distinct())
-        small, large = mixed.filter(F.col("size") <= BUCKET), mixed.filter(F.col("size") > BUCKET)
-        pairs = _in_pairs(small, classes)
-        found = pairs if found is None else found.unionByName(pairs)
-        if large.isEmpty():
-            return cut(found.distinct())
-        # split by fresh shingles
-        deeper = large.select(*_MEMBER).join(classes.select("cid", F.col(f"t{depth}").alias("t")), "cid")
-        rows = deeper.select(*_MEMBER, F.explode(F.get("t", F.col("run"))).alias("tok")).withColumn("key", F.xxhash64("key", "tok")).select(*_MEMBER).distinct()
+    """Distinct pairs of sets of different labels that share a bucket and pass the sketch; ``rows``
+    are the members of all buckets, with labels. (Checkpointed.)"""
+    mixed = _open_buckets(rows)
+    pairs = _in_pairs(mixed.filter(F.col("size") <= BUCKET), classes)
+    large = mixed.filter(F.col("size") > BUCKET)
+    if not large.isEmpty():
+        wide = large.join(classes.select("cid", "n", *SKETCH), "cid").withColumn("blocks", F.ceil(F.col("size") / BUCKET).cast("long"))
+        cells = _cells(wide, "key", ["cid", "label", "n", *SKETCH])
+        pairs = pairs.unionByName(cells.mapInArrow(tidied(_sketched), "a long, b long"))
+    return cut(pairs.distinct())
 
 
 def _sets_of(texts: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -290,16 +328,6 @@ def _verify(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
     return cut(both.select("a", "b", "x", "y").mapInArrow(tidied(_verified), "a long, b long, similarity double"))
 
 
-def _cells(rows: DataFrame, key: str, member: list[str]) -> DataFrame:
-    """(x, y): all pairs of blocks of each ``key``, as lists of ``member``; y is null where a block
-    meets itself. ``rows`` has cid and ``blocks``, the number of blocks of its key."""
-    packed = rows.groupBy(key, "blocks", F.pmod(F.xxhash64("cid"), "blocks").alias("block")).agg(F.collect_list(F.struct(*member)).alias("m"))
-    sent = packed.select(key, "block", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    cells = sent.groupBy(key, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list("m").alias("sides"))
-    # a block that no set fell into leaves the other side alone
-    return cells.filter("i = j or size(sides) = 2").select(F.get("sides", F.lit(0)).alias("x"), F.get("sides", F.lit(1)).alias("y"))
-
-
 def _link_counts(texts: DataFrame, classes: DataFrame, parts: DataFrame) -> DataFrame:
     """(cid, n_links): how many other sets match each set of ``parts`` (node, component), all sets of
     a component compared to each other."""
@@ -316,10 +344,9 @@ def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     verified pairs of classes, enough of them to connect all that match."""
     texts = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
     records = cut(texts.selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) h").mapInArrow(tidied(_records), RECORD))
-    wide = [f"t{k}" for k in range(DEPTH)]
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "n", *SKETCH, *wide)).alias("r")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "n", *SKETCH, "t0")).alias("r")
     grouped = records.groupBy("fp1", "fp2").agg(first, F.count(F.lit(1)).alias("size"))
-    classes = cut(grouped.select(F.monotonically_increasing_id().alias("cid"), F.col("r.doc_id").alias("rep"), "size", "fp1", "fp2", *[F.col(f"r.{c}").alias(c) for c in ("n", *SKETCH, *wide)]))
+    classes = cut(grouped.select(F.monotonically_increasing_id().alias("cid"), F.col("r.doc_id").alias("rep"), "size", "fp1", "fp2", *[F.col(f"r.{c}").alias(c) for c in ("n", *SKETCH, "t0")]))
     rows = _followers(classes.filter("n > 0"))
     labels = classes.select("cid", F.col("cid").alias("label"))
     stars = None
@@ -331,7 +358,7 @@ def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         parts = connected_components(stars)
         labels = classes.select("cid").join(parts.withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("component", "cid").alias("label"))
     # then members of different labels against each other, wherever a bucket still holds several
-    labelled = rows.select("key", "run", "cid").join(labels, "cid").select(*_MEMBER)
+    labelled = rows.select("key", "cid").join(labels, "cid")
     links = stars.unionByName(_verify(texts, classes, _cross_pairs(classes, labelled)))
     return records.select("doc_id", "fp1", "fp2", "text_hash"), classes.select("cid", "rep", "size", "n", "fp1", "fp2"), links
 

@@ -165,6 +165,11 @@ def test_near_pair_of_a_small_and_a_large_bucket(spark, monkeypatch):
     assert (0, 1) in bucket_pairs(spark, {1: range(9), 2: (0, 1)})
 
 
+def test_near_pairs_of_a_large_bucket(spark, monkeypatch):
+    monkeypatch.setattr(near_join, "BUCKET", 4)
+    assert bucket_pairs(spark, {1: range(30)}) == [(a, b) for a in range(30) for b in range(a + 1, 30)]
+
+
 def test_repeats(docs, rows):
     found = repeats.remove_repeats(docs)
     assert pairs(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == fx.repeats(rows)
