@@ -7,6 +7,7 @@ import ctypes
 import functools
 import gc
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
@@ -31,16 +32,23 @@ def _checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().get()
 
 
+RELEASE_SECONDS = 10
+_released = 0.0
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: an eager checkpoint in the shared folder. Spark removes it with the frame.
 
-    What earlier cuts have made unreachable is let go first: Spark deletes shuffle files and
-    checkpoints only when the driver's garbage collectors have found their owners, which a loop of
-    small jobs would otherwise hardly ever cause.
+    What earlier cuts have made unreachable is let go first, each RELEASE_SECONDS: Spark deletes
+    shuffle files and checkpoints only when the driver's garbage collectors have found their owners,
+    which a loop of small jobs would otherwise hardly ever cause.
     """
+    global _released
     _checkpoint_dir(df.sparkSession)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    if time.monotonic() - _released > RELEASE_SECONDS:
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        _released = time.monotonic()
     return df.checkpoint(eager=True)
 
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from semindex.llm.common import cut
 
 
+def _state(edges: DataFrame) -> Row:
+    """A checksum of the set of edges: the same set twice is the end."""
+    return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (columns a, b, long); component is its smallest node.
 
@@ -16,7 +21,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     but one count and one checksum a round.
     """
     now = cut(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).filter("u <> v").distinct())
-    before = None
+    before = _state(now)
     while True:
         # large star: each larger neighbour of a node goes to the node's smallest neighbour
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -27,8 +32,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         joined = large.join(least, "v")
         small = joined.select(F.col("m").alias("u"), F.col("u").alias("v")).unionByName(joined.select(F.col("m").alias("u"), "v"))
         now = cut(small.filter("u <> v").distinct())
-        # a checksum of the set of edges: the same set twice is the end
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        state = _state(now)
         if state == before:
             break
         before = state

@@ -4,35 +4,34 @@ A document is the set of its shingles (five words, lower case A-Z); equal sets a
 the start, so copies never meet each other. Two sets match at Jaccard similarity THRESHOLD or more.
 
 Chosen paths: in each run, a set of n shingles follows every shingle whose hash in this run is
-below SPREAD / n: two sets that match share a followed shingle with probability 1 - exp(-0.8 *
-SPREAD) or more. Runs repeat until at most 1 - RECALL of the matching pairs share none. Sets
-that follow the same shingle are a bucket.
-
-First each member of a bucket is compared to the bucket's pivot, the one that shares most with
-others, so that a group of near copies becomes a few stars instead of all its pairs; connected sets
-get one label. Then buckets that still hold several labels are compared across labels: as a
-join up to BUCKET sets; larger ones in blocks of about BUCKET sets, every block with every other. No
-bucket is cut short or thinned, so what a pair is found by doesn't depend on sizes; the work for a
-large bucket grows with the square of its sets. Pairs of one label need no comparison to find the
-classes.
-
-Links are counted afterwards: two sets that match are of one class, so all sets of a class are
-compared to each other, in blocks of CELL shingles, exactly and without rows for pairs. The work for
-a class grows with the square of its distinct sets.
-
-Comparison is a bit sketch first (some bits of the smallest hash of each bin), then the exact similarity on the sets.
-Only narrow rows are shuffled; sets travel only for pairs that pass the sketch.
+below SPREAD / n. Sets that follow the same shingle are a bucket. A bucket of more than BUCKET sets
+is split: each of its sets follows SPREAD more shingles on average, chosen by a hash of the bucket
+and the shingle out of a pool of about POOL of the set's shingles, and so on down to DEPTH shingles
+a path. So what many different texts share (a license line) falls apart, while near copies stay
+together. Runs repeat until matching pairs are found with probability RECALL: see _runs(), which
+counts every level of a path, so that no size of a bucket lowers it.
+
+Buckets are brute-forced: whole up to BLOCK sets, else in blocks of about BLOCK sets, every block
+with every other. No bucket is cut short or thinned. The comparison there is by size and bit sketch
+(some bits of the smallest hash of each bin); a cell of blocks returns no pairs but what they
+connect, as stars, so its rows grow with the sets and not with the pairs.
+
+What the stars connect are the candidate groups. The sets of a group are compared exactly, all
+with all, in blocks of CELL shingles: this gives the links of each set (counted in place, without
+rows for pairs) and again stars, whose components are the classes. The work within a
+group grows with the square of its distinct sets; without link counts most of it is left out,
+since sets that are connected already needn't be compared.
 
 Null, empty and blank texts have no words and form one class. Texts of one to four words have
-one shingle. Ids may repeat or be null; each input row gives one row, and a class's id is the
-smallest that isn't null. Empty tables give empty
-results; other columns are not read.
+one shingle. Very long texts are one set like any other and a block of their own. Ids may repeat or
+be null, rows may repeat in full; each input row gives one row, and a class's id is the smallest
+that isn't null (null if all are). Empty tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,25 +39,50 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semindex.llm import textbytes as tb
-from semindex.llm.common import cut, join_by_hot_key, scan_parallelism, table, tidied, without
+from semindex.llm.common import cut, join_by_hot_key, table, tidied, without
 from semindex.llm.graph import connected_components
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
-SPREAD, BUCKET = 2.0, 1024
+SPREAD, DEPTH, POOL = 2.0, 3, 32
+#: Sets of a bucket that is not split, and of a block of a bucket, about.
+BUCKET, BLOCK = 4096, 1024
+#: Sets of a bucket whose pairs are compared together with those of other buckets.
+SMALL = 8
 #: Sketch: the smallest hash of each of BINS bins, BITS bits of it, WORDS numbers of 64 bits.
 BINS, BITS = 256, 4
 WORDS = BINS * BITS // 64
 #: Standard deviations above the expected number of different bins of matching sets.
 SIGMAS = 4.0
 BROADCAST_IDS = 1_000_000
-#: Shingles of a block of a class's sets, about.
+#: Shingles of a block of a group's sets, about.
 CELL = 1 << 16
-#: Rounds of stars at most; each takes other pivots, and ends early if nothing new is linked.
-STARS, PIVOTS = 2, 4
 
-RUNS = math.ceil(-math.log(1 - RECALL) / (THRESHOLD * SPREAD))
-SKETCH = [f"s{i}" for i in range(WORDS)]
-RECORD = f"doc_id long, text_hash long, fp1 long, fp2 long, n int, {', '.join(f'{c} long' for c in SKETCH)}, t0 array<array<bigint>>"
+
+def _missed(shared: float) -> float:
+    """Probability that one run doesn't find two matching sets that share ``shared`` shingles of
+    their pools, if every bucket on their paths is split down to DEPTH."""
+    found = 1.0
+    for level in range(DEPTH):
+        last = level == DEPTH - 1
+        found = 1 - math.exp(-SPREAD * (THRESHOLD if last else shared / POOL) * found)
+    return 1 - found
+
+
+def _runs() -> int:
+    """Runs until matching pairs are missed with probability 1 - RECALL at most, at worst: similar
+    by just THRESHOLD, of very different sizes, in large buckets at every level. What they share of
+    their pools is a Poisson number and the same in all runs."""
+    mean = THRESHOLD * POOL
+    weights = [math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in range(4 * POOL)]
+    misses = [_missed(min(k, POOL)) for k in range(4 * POOL)]
+    runs = 1
+    while sum(w * m**runs for w, m in zip(weights, misses, strict=True)) > 1 - RECALL:
+        runs += 1
+    return runs
+
+
+RUNS = _runs()
+RECORD = "doc_id long, text_hash long, fp1 long, fp2 long, n int, s binary, t array<bigint>, pool array<bigint>"
 
 
 def fingerprint(u: np.ndarray) -> tuple[int, int]:
@@ -72,44 +96,43 @@ _SHIFT = tb.U(64 - BINS.bit_length() + 1)
 _EDGES = np.arange(BINS, dtype=tb.U) << _SHIFT
 
 
-def sketch(u: np.ndarray) -> list[int]:
+def sketch(u: np.ndarray) -> bytes:
     """BITS bits of the smallest hash in each bin (u: sorted hashes). Empty bins are 0."""
     at = np.searchsorted(u, _EDGES)
     low = u[np.minimum(at, len(u) - 1)]
     full = (at < len(u)) & ((low >> _SHIFT) == np.arange(BINS, dtype=tb.U))
     value = np.where(full, tb.mix(low) & tb.U((1 << BITS) - 1), tb.U(0)).reshape(WORDS, 64 // BITS)
-    return (value << (np.arange(64 // BITS, dtype=tb.U) * tb.U(BITS))).sum(1, dtype=tb.U).view(np.int64).tolist()
+    return (value << (np.arange(64 // BITS, dtype=tb.U) * tb.U(BITS))).sum(1, dtype=tb.U).tobytes()
 
 
-def _limit(rate: float, n: int, bits: int) -> int:
-    return min(1 << bits, math.ceil(rate / n * (1 << bits)))
+#: For each run, and at last for the pool, an odd number that hashes a shingle by multiplication.
+_FACTORS = (tb.mix(np.arange(1, RUNS + 2, dtype=tb.U) * tb.BASE) | tb.U(1))[:, None]
 
 
-def followed(u: np.ndarray) -> list[list[int]]:
-    """By run, the shingles that a set follows."""
-    out: list[list[int]] = []
-    for run in range(RUNS):
-        r = tb.mix(u ^ tb.U(0xA24BAED4963EE407 * (run + 1) & 0xFFFFFFFFFFFFFFFF))
-        chosen = r[(r & tb.U((1 << 21) - 1)) < tb.U(_limit(SPREAD, len(u), 21))]
-        out.append(chosen.view(np.int64).tolist())
-    return out
+def followed(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the first shingles of a set's paths in all runs, its pool)"""
+    limit = np.full(RUNS + 1, math.ceil(SPREAD / len(u) * (1 << 24)))
+    limit[-1] = math.ceil(POOL / len(u) * (1 << 24))
+    run, at = np.nonzero((u * _FACTORS) >> tb.U(40) < limit.astype(tb.U)[:, None])
+    first = np.searchsorted(run, RUNS)
+    # the same shingle is another path in each run
+    return (u[at[:first]] ^ _FACTORS[run[:first], 0]).view(np.int64), u[at[first:]].view(np.int64)
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in RECORD.split(", ")]
-    nested = pa.list_(pa.list_(pa.int64()))
+    longs = pa.list_(pa.int64())
     for batch in batches:
         for first, end, data, offsets in tb.chunks(batch.column(1)):
             rows = []
             for u in tb.shingles(data, offsets, SHINGLE):
                 if len(u):
-                    rows.append((*fingerprint(u), len(u), *sketch(u), followed(u)))
+                    rows.append((*fingerprint(u), len(u), sketch(u), *followed(u)))
                 else:
-                    rows.append((0, 0, 0, *[0] * WORDS, []))
-            columns = list(zip(*rows, strict=True))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * WORDS, nested]
+                    rows.append((0, 0, 0, bytes(WORDS * 8), [], []))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), longs, longs]
             own = [batch.column(i).slice(first, end - first) for i in (0, 2)]
-            yield pa.RecordBatch.from_arrays([*own, *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=names)
+            yield pa.RecordBatch.from_arrays([*own, *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], names=names)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,192 +146,194 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        good = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), tb.U), np.frombuffer(y.as_buffer(), tb.U)
-            both = np.concatenate([x, y])
-            both.sort()
-            shared = int((both[1:] == both[:-1]).sum())
-            good.append(shared / (len(x) + len(y) - shared))
-        ok = pa.array([g >= THRESHOLD for g in good], pa.bool_())
-        out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.float64())], names=["a", "b", "similarity"])
-        yield out.filter(ok)
-
-
-def _matches(x: list[np.ndarray], y: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
-    """How many sets of the other side each set of ``x`` and of ``y`` matches; of its own side if
-    ``y`` is None."""
-    other = x if y is None else y
-    sizes = np.array([len(v) for v in other])
-    flat = np.concatenate(other)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], np.repeat(np.arange(len(other)), sizes)[order]
-    ours, theirs = np.zeros(len(x), np.int64), np.zeros(len(other), np.int64)
-    for i, u in enumerate(x):
-        low = np.searchsorted(flat, u)
-        many = np.searchsorted(flat, u, "right") - low
-        at = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
-        shared = np.bincount(owner[at], minlength=len(other))
-        good = shared / (len(u) + sizes - shared) >= THRESHOLD
-        if y is None:
-            good[i] = False
-        ours[i] = good.sum()
-        theirs += good
-    return ours, theirs
+def _connected(m: int, x: int, near: Callable[[int, slice], np.ndarray]) -> np.ndarray:
+    """For each of ``m`` sets the first that it is connected to. ``near(i, part)`` tells which sets of
+    a part of them match set i. If ``x`` < m, only pairs across that border count.
+
+    Pairs within the largest component so far are not looked at: sets outside it, one by one, are
+    compared to all others, until none is left that hasn't been.
+    """
+    label, tried = np.arange(m), np.zeros(m, bool)
+    while True:
+        open_ = ~tried & (label != np.bincount(label).argmax())
+        if tried[:x].all() or not open_.any():
+            break
+        for i in np.flatnonzero(open_)[:64].tolist():
+            tried[i] = True
+            part = slice(0, m) if x == m else slice(x, m) if i < x else slice(0, x)
+            hit = np.flatnonzero(near(i, part)) + part.start
+            hit = hit[label[hit] != label[i]]
+            if len(hit):
+                label[np.isin(label, label[hit])] = label[i]
+                if 2 * (label == label[i]).sum() > m:  # most are connected: look at the rest only
+                    break
+    _, first, of = np.unique(label, return_index=True, return_inverse=True)
+    return first[of]
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for x, y in zip(batch.column(0), batch.column(1), strict=True):
-            cids, sets = [], []
-            for side in (x, y):
-                if side.is_valid:
-                    cids.append(side.values.field(0))
-                    sets.append([np.frombuffer(u.as_buffer(), tb.U) for u in side.values.field(1)])
-            found = _matches(sets[0], sets[1] if len(sets) > 1 else None)
-            for c, n in zip(cids, found, strict=False):
-                yield pa.RecordBatch.from_arrays([c, pa.array(n, pa.int64())], names=["cid", "n"])
-
-
-def _different_bins(a: str, b: str) -> Column:
-    mask = F.lit(0x1111111111111111)
-    total = F.lit(0)
-    for c in SKETCH:
-        x = F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        total = total + F.bit_count(x.bitwiseAND(mask))
-    return total
-
-
-def _near(a: str, b: str) -> Column:
-    """May the sets of two rows match, by size and sketch?
+def _star(cid: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): what a cell connects, as pairs of a component's first set and each other one."""
+    far = np.flatnonzero(label != np.arange(len(label)))
+    return cid[label[far]], cid[far]
+
+
+_NIBBLES = tb.U(0x1111111111111111)
+_MOST = (1 - THRESHOLD) * BINS + SIGMAS * (THRESHOLD * (1 - THRESHOLD) * BINS) ** 0.5
+
+
+def _different(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    v = a ^ b
+    v |= v >> tb.U(1)
+    v |= v >> tb.U(2)
+    return np.bitwise_count(v & _NIBBLES).sum(1, dtype=np.int64)
+
+
+def _alike(n: np.ndarray, s: np.ndarray) -> Callable[[int | np.ndarray, slice | np.ndarray], np.ndarray]:
+    """Which sets of a part may match set i (or the set at the same place of i), by size and sketch?
 
     Sets that match share THRESHOLD / (1 + THRESHOLD) of their joint size at least. Each bin that
     differs holds a shingle of one set alone, which bounds the bins that differ. Large sets put many
     shingles in a bin: there the smallest hash belongs to one set alone with probability
     1 - THRESHOLD, and SIGMAS standard deviations above that bound it.
     """
-    less, more = F.least(f"{a}n", f"{b}n"), F.greatest(f"{a}n", f"{b}n")
-    apart = (F.col(f"{a}n") + F.col(f"{b}n")) * ((1 - THRESHOLD) / (1 + THRESHOLD)) + 1e-6
-    p = 1 - THRESHOLD
-    most = F.lit(p * BINS + SIGMAS * (p * (1 - p) * BINS) ** 0.5)
-    return (less >= THRESHOLD * more) & (_different_bins(a, b) <= F.least(apart, most))
+    first, rest = np.ascontiguousarray(s[:, : WORDS // 4]), s[:, WORDS // 4 :]
 
+    def near(i: int | np.ndarray, part: slice | np.ndarray) -> np.ndarray:
+        other = n[part]
+        most = np.minimum((other + n[i]) * ((1 - THRESHOLD) / (1 + THRESHOLD)) + 1e-6, _MOST)
+        low = _different(first[part], first[i])
+        good = (other >= THRESHOLD * n[i]) & (other * THRESHOLD <= n[i]) & (low <= most)
+        at = np.flatnonzero(good)
+        mine = rest[i] if np.ndim(i) == 0 else rest[i[at]]
+        good[at] = low[at] + _different(rest[part][at], mine) <= most[at]
+        return good
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different labels in cells that pass what _near() asks for."""
-    mask, half = tb.U(0x1111111111111111), WORDS // 2
+    return near
 
-    def different(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        v = x ^ y
-        v |= v >> tb.U(1)
-        v |= v >> tb.U(2)
-        return np.bitwise_count(v & mask)
 
-    p = 1 - THRESHOLD
-    bound = p * BINS + SIGMAS * (p * (1 - p) * BINS) ** 0.5
+def _matching(sets: list[np.ndarray]) -> Callable[[int, slice], np.ndarray]:
+    """Which sets match set i, exactly?"""
+    sizes = np.array([len(u) for u in sets])
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], np.repeat(np.arange(len(sets)), sizes)[order]
+
+    def near(i: int, part: slice) -> np.ndarray:
+        u = sets[i]
+        low = np.searchsorted(flat, u)
+        many = np.searchsorted(flat, u, "right") - low
+        at = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+        shared = np.bincount(owner[at], minlength=len(sets))
+        return (shared / (len(u) + sizes - shared) >= THRESHOLD)[part]
+
+    return near
+
+
+def _cells(members: pa.StructArray, ends: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(sets of the first block, places in ``members`` by block) of each cell of _dealt()."""
+    block = members.field("block").to_numpy()
+    for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+        order = a + np.argsort(block[a:b], kind="stable")
+        yield int((block[order] == block[order[0]]).sum()), order
+
+
+_LONGS = [np.zeros(0, np.int64)]
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): pairs that connect what may match in the cells of buckets: all that match of cells of
+    SMALL sets or fewer, which are compared together, else spanning stars."""
     for batch in batches:
-        for x, y in zip(batch.column(0), batch.column(1), strict=True):
-            sides = []
-            for side in (x, y if y.is_valid else x):
-                fields = [side.values.field(f).to_numpy() for f in range(3 + WORDS)]
-                sides.append((*fields[:3], [f.view(tb.U) for f in fields[3:]]))
-            (cx, lx, nx, sx), (cy, ly, ny, sy) = sides
-            out = []
-            for i in range(0, len(cx), 64):
-                to = slice(i, i + 64)
-                less, more = np.minimum(nx[to, None], ny), np.maximum(nx[to, None], ny)
-                may = (lx[to, None] != ly) & (less >= THRESHOLD * more)
-                most = np.minimum((less + more) * ((1 - THRESHOLD) / (1 + THRESHOLD)) + 1e-6, bound)
-                if not y.is_valid:
-                    may &= cx[to, None] < cy
-                first = np.zeros(may.shape, np.uint8)
-                for w in range(half):  # unrelated sets differ in too many bins of half the sketch already
-                    first += different(sx[w][to, None], sy[w])
-                a, b = np.nonzero(may & (first <= most))
-                total = first[a, b].astype(np.int64)
-                for w in range(half, WORDS):
-                    total += different(sx[w][to][a], sy[w][b])
-                good = total <= most[a, b]
-                out.append((cx[to][a[good]], cy[b[good]]))
-            a, b = (np.concatenate([o[k] for o in out]) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-
-def _with_sketches(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) that pass _near()."""
-    facts = classes.select("cid", "n", *SKETCH)
-    both = pairs.join(facts.alias("x"), F.col("a") == F.col("x.cid")).join(facts.alias("y"), F.col("b") == F.col("y.cid"))
-    return both.filter(_near("x.", "y.")).select("a", "b")
-
-
-def _followers(classes: DataFrame) -> DataFrame:
-    """(key, cid): who follows what, in buckets of at least two sets. (Checkpointed.)"""
-    rows = classes.select(F.explode(F.flatten("t0")).alias("key"), "cid")
+        members, sizes = batch.column(0).flatten(), batch.column(0).value_lengths().to_numpy().astype(np.int64)
+        ends, cid, n = np.cumsum(sizes), members.field("cid").to_numpy(), members.field("n").to_numpy().astype(float)
+        s = np.frombuffer(b"".join(members.field("s").to_pylist()), tb.U).reshape(len(cid), WORDS)
+        pairs = [(*_LONGS, *_LONGS)]
+        for m in range(2, SMALL + 1):
+            i, j = ((ends[sizes == m] - m)[:, None] + side for side in np.triu_indices(m, 1))
+            good = _alike(n, s)(i.ravel(), j.ravel())
+            pairs.append((cid[i.ravel()[good]], cid[j.ravel()[good]]))
+        for x, at in _cells(members, ends[sizes > SMALL], sizes[sizes > SMALL]):
+            pairs.append(_star(cid[at], _connected(len(at), x, _alike(n[at], s[at]))))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*pairs, strict=True)], names=["a", "b"])
+
+
+def _links(count: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(a, b, null): spanning stars of what matches in the cells of groups; and with ``count``
+    (a, null, n): the number of matches of each set there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            members, sizes = batch.column(0).flatten(), batch.column(0).value_lengths().to_numpy().astype(np.int64)
+            cids, sets = members.field("cid").to_numpy(), members.field("u")
+            stars, counts = [(*_LONGS, *_LONGS)], [(*_LONGS, *_LONGS)]
+            for x, at in _cells(members, np.cumsum(sizes), sizes):
+                cid, m = cids[at], len(at)
+                near = _matching([np.frombuffer(sets[i].as_buffer(), tb.U) for i in at.tolist()])
+                if count:
+                    good = np.zeros((m, m), bool)
+                    for i in range(x):
+                        part = slice(0, m) if x == m else slice(x, m)
+                        good[i, part] = near(i, part)
+                    good |= good.T
+                    np.fill_diagonal(good, False)
+                    n = good.sum(1)
+                    counts.append((cid[n > 0], n[n > 0]))
+                    near = lambda i, part, good=good: good[i, part]
+                stars.append(_star(cid, _connected(m, x, near)))
+            (a, b), (of, n) = ([np.concatenate(c) for c in zip(*found, strict=True)] for found in (stars, counts))
+            none = [pa.nulls(len(of), pa.int64()), pa.nulls(len(a), pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(a, of)), pa.concat_arrays([pa.array(b), none[0]]), pa.concat_arrays([none[1], pa.array(n)])], names=["a", "b", "n"])
+
+    return run
+
+
+def _dealt(rows: DataFrame, key: str, member: list[str]) -> DataFrame:
+    """(members): a row for each pair of blocks of each ``key``, and each block with itself: lists of
+    block and ``member``. ``rows`` has cid and ``blocks``, the number of blocks of its key."""
+    block = F.pmod(F.xxhash64("cid"), "blocks")
+    sent = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = sent.groupBy(key, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    # a cell that one block alone fell into is that of the block with itself
+    full = (F.col("i") == F.col("j")) | (F.exists("members", lambda m: m["block"] == F.col("i")) & F.exists("members", lambda m: m["block"] == F.col("j")))
+    return cells.agg(F.collect_list(F.struct("block", *member)).alias("members")).filter(full & (F.size("members") > 1)).select("members")
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """(key, cid, size) of the keys that several sets have. (Checkpointed.)"""
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     return cut(rows.join(sizes, "key"))
 
 
-def _stars(rows: DataFrame, classes: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of each bucket's members with its pivots, where their labels differ. In the
-    first turn pivots are members of whose followed shingles most are shared: of a group of near
-    copies those are near its middle. Later turns take any. (Checkpointed.)"""
-    # how many of the shingles that a set follows nobody else follows
-    alone = F.aggregate("t0", F.lit(0), lambda s, x: s + F.size(x)) - F.col("shared")
-    order = rows.groupBy("cid").agg(F.count(F.lit(1)).alias("shared")).join(classes.select("cid", "t0"), "cid").select("cid", (F.lit(0) if turn else alone).alias("alone"))
-    told = rows.select("key", "cid").join(order, "cid").join(labels, "cid")
-    firsts = [F.min(F.struct("alone", F.xxhash64("key", "cid", F.lit(turn * PIVOTS + i)).alias("o"), "cid", "label")).alias(f"p{i}") for i in range(PIVOTS)]
-    pivots = told.groupBy("key").agg(*firsts).select("key", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"p{i}.cid").alias("pivot"), F.col(f"p{i}.label").alias("own")) for i in range(PIVOTS)]))).alias("p")).select("key", "p.*")
-    pairs = told.join(pivots, "key").filter("label <> own")
-    pairs = pairs.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
-    return cut(_with_sketches(pairs, classes))
-
-
-def _open_buckets(rows: DataFrame) -> DataFrame:
-    """Members of buckets whose sets are not all of one label yet, with size. (Checkpointed.)"""
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low <> _high")
-    return cut(rows.join(sizes.select("key", "size"), "key"))
-
-
-def _in_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a < b) of different labels within the buckets of ``rows`` that may match, each in one
-    bucket only: the smallest of these that both are in."""
-    # a set follows a few shingles, whatever its size
-    rows = rows.join(rows.groupBy("cid").agg(F.collect_set("key").alias("keys")), "cid")
-    rows = rows.join(classes.select("cid", "n", *SKETCH), "cid")
-    a, b = rows.alias("a"), rows.alias("b")
-    apart = (F.col("a.cid") < F.col("b.cid")) & (F.col("a.label") != F.col("b.label"))
-    # within a lambda, which is evaluated by itself: the comparison above it stays small enough to compile
-    here = F.forall(F.array(F.lit(1)), lambda _: F.array_min(F.array_intersect("a.keys", "b.keys")) == F.col("a.key"))
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & apart & _near("a.", "b.") & here)
-    # skewed keys can split into very many pieces; what they find is little and needs few tasks
-    return pairs.select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b")).coalesce(scan_parallelism(rows))
-
-
-def _cells(rows: DataFrame, key: str, member: list[str]) -> DataFrame:
-    """(x, y): all pairs of blocks of each ``key``, as lists of ``member``; y is null where a block
-    meets itself. ``rows`` has cid and ``blocks``, the number of blocks of its key."""
-    packed = rows.groupBy(key, "blocks", F.pmod(F.xxhash64("cid"), "blocks").alias("block")).agg(F.collect_list(F.struct(*member)).alias("m"))
-    sent = packed.select(key, "block", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    cells = sent.groupBy(key, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list("m").alias("sides"))
-    # a block that no set fell into leaves the other side alone
-    return cells.filter("i = j or size(sides) = 2").select(F.get("sides", F.lit(0)).alias("x"), F.get("sides", F.lit(1)).alias("y"))
-
-
-def _cross_pairs(classes: DataFrame, rows: DataFrame) -> DataFrame:
-    """Distinct pairs of sets of different labels that share a bucket and pass the sketch; ``rows``
-    are the members of all buckets, with labels. (Checkpointed.)"""
-    mixed = _open_buckets(rows)
-    pairs = _in_pairs(mixed.filter(F.col("size") <= BUCKET), classes)
-    large = mixed.filter(F.col("size") > BUCKET)
-    if not large.isEmpty():
-        wide = large.join(classes.select("cid", "n", *SKETCH), "cid").withColumn("blocks", F.ceil(F.col("size") / BUCKET).cast("long"))
-        cells = _cells(wide, "key", ["cid", "label", "n", *SKETCH])
-        pairs = pairs.unionByName(cells.mapInArrow(tidied(_sketched), "a long, b long"))
-    return cut(pairs.distinct())
+def _followed_further(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, cid): the paths of the members of ``rows`` (key, cid), one shingle longer."""
+    limit = F.ceil(F.lit(SPREAD * (1 << 20)) / F.least(F.col("n"), F.lit(POOL)))
+
+    def chosen(token: Column) -> Column:
+        return F.xxhash64("key", token).bitwiseAND(F.lit((1 << 20) - 1)) < limit
+
+    of = rows.join(classes.select("cid", "n", "pool"), "cid")
+    return of.select(F.explode(F.transform(F.filter("pool", chosen), lambda token: F.xxhash64(token, "key"))).alias("key"), "cid")
+
+
+def _buckets(classes: DataFrame) -> DataFrame:
+    """(key, cid, size): the members of all buckets to be brute-forced."""
+    rows = _shared(classes.select(F.explode("t").alias("key"), "cid"))
+    done = None
+    for _ in range(DEPTH - 1):
+        large = rows.filter(F.col("size") > BUCKET)
+        if large.isEmpty():
+            break
+        small = rows.filter(F.col("size") <= BUCKET)
+        done = small if done is None else done.unionByName(small)
+        rows = _shared(_followed_further(large.select("key", "cid"), classes))
+    return rows if done is None else done.unionByName(rows)
+
+
+def _candidates(classes: DataFrame) -> DataFrame:
+    """(node, component): groups of sets that what may match connects."""
+    rows = _buckets(classes).withColumn("blocks", F.when(F.col("size") > BLOCK, F.ceil(F.col("size") / BLOCK)).otherwise(1).cast("long"))
+    cells = _dealt(rows.join(classes.select("cid", "n", "s"), "cid"), "key", ["cid", "n", "s"])
+    return connected_components(cells.mapInArrow(tidied(_edges), "a long, b long"))
 
 
 def _sets_of(texts: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -320,47 +345,29 @@ def _sets_of(texts: DataFrame, chosen: DataFrame) -> DataFrame:
     return theirs.alias("t").join(side.alias("s"), F.expr("t.doc_id <=> s.rep and t.fp1 = s.fp1 and t.fp2 = s.fp2")).groupBy("cid").agg(F.first("u").alias("u"))
 
 
-def _verify(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, similarity) of the pairs whose sets match exactly computed. (Checkpointed.)"""
-    involved = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    sets = _sets_of(texts, cut(classes.select("cid", "rep", "fp1", "fp2").join(involved, "cid", "left_semi")))
-    both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("u").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("u").alias("y")), "b")
-    return cut(both.select("a", "b", "x", "y").mapInArrow(tidied(_verified), "a long, b long, similarity double"))
-
-
-def _link_counts(texts: DataFrame, classes: DataFrame, parts: DataFrame) -> DataFrame:
-    """(cid, n_links): how many other sets match each set of ``parts`` (node, component), all sets of
-    a component compared to each other."""
-    chosen = cut(classes.select("cid", "rep", "fp1", "fp2", "n").join(parts.select(F.col("node").alias("cid"), "component"), "cid"))
+def _compared(texts: DataFrame, classes: DataFrame, groups: DataFrame, count: bool) -> DataFrame:
+    """(a, b, n) as of _links(), of all pairs of sets in each of ``groups``. (Checkpointed.)"""
+    chosen = cut(classes.select("cid", "rep", "fp1", "fp2", "n").join(groups.select(F.col("node").alias("cid"), "component"), "cid"))
     blocks = chosen.groupBy("component").agg(F.ceil(F.sum("n") / CELL).cast("long").alias("blocks"))
-    of = cut(chosen.select("cid", "component").join(blocks, "component"))
-    cells = _cells(_sets_of(texts, chosen.select("cid", "rep", "fp1", "fp2")).join(of, "cid"), "component", ["cid", "u"])
-    return cells.mapInArrow(tidied(_counted), "cid long, n long").groupBy("cid").agg(F.sum("n").alias("n_links"))
+    of = chosen.select("cid", "component").join(blocks, "component")
+    cells = _dealt(_sets_of(texts, chosen.select("cid", "rep", "fp1", "fp2")).join(of, "cid"), "component", ["cid", "u"])
+    return cut(cells.mapInArrow(tidied(_links(count)), "a long, b long, n long"))
 
 
-def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, classes, links): members (doc_id, fp1, fp2, text_hash) has a row for each input
-    row; classes (cid, rep, size, n, fp1, fp2) a row for each distinct set; links (a, b, similarity)
-    verified pairs of classes, enough of them to connect all that match."""
+def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_links: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(members, classes, links, counts): members (doc_id, fp1, fp2, text_hash) has a row for each
+    input row; classes (cid, rep, size, n, fp1, fp2) a row for each distinct set; links (a, b) are
+    pairs that connect the classes that verified matches connect; counts (cid, n_links) how
+    many other sets match a set, of those with any, and is empty without ``with_links``."""
     texts = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
     records = cut(texts.selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) h").mapInArrow(tidied(_records), RECORD))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "n", *SKETCH, "t0")).alias("r")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "n", "s", "t", "pool")).alias("r")
     grouped = records.groupBy("fp1", "fp2").agg(first, F.count(F.lit(1)).alias("size"))
-    classes = cut(grouped.select(F.monotonically_increasing_id().alias("cid"), F.col("r.doc_id").alias("rep"), "size", "fp1", "fp2", *[F.col(f"r.{c}").alias(c) for c in ("n", *SKETCH, "t0")]))
-    rows = _followers(classes.filter("n > 0"))
-    labels = classes.select("cid", F.col("cid").alias("label"))
-    stars = None
-    for turn in range(STARS):
-        fresh = _verify(texts, classes, _stars(rows, classes, labels, turn))
-        if turn and fresh.isEmpty():
-            break
-        stars = fresh if stars is None else stars.unionByName(fresh)
-        parts = connected_components(stars)
-        labels = classes.select("cid").join(parts.withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("component", "cid").alias("label"))
-    # then members of different labels against each other, wherever a bucket still holds several
-    labelled = rows.select("key", "cid").join(labels, "cid")
-    links = stars.unionByName(_verify(texts, classes, _cross_pairs(classes, labelled)))
-    return records.select("doc_id", "fp1", "fp2", "text_hash"), classes.select("cid", "rep", "size", "n", "fp1", "fp2"), links
+    classes = cut(grouped.select(F.monotonically_increasing_id().alias("cid"), F.col("r.doc_id").alias("rep"), "size", "fp1", "fp2", *[F.col(f"r.{c}").alias(c) for c in ("n", "s", "t", "pool")]))
+    found = _compared(texts, classes, _candidates(classes), with_links)
+    counts = found.filter("n is not null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("n_links"))
+    members = records.select("doc_id", "fp1", "fp2", "text_hash")
+    return members, classes.select("cid", "rep", "size", "n", "fp1", "fp2"), found.filter("b is not null").select("a", "b"), counts
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_hash: bool = False, with_links: bool = True) -> DataFrame:
@@ -368,18 +375,16 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     connect), n_links (other sets that match its set), text_class (smallest id with the same set),
     n_same (documents with that set). ``with_hash`` adds text_hash and class_key, which is the
     class's own number; without ``with_links`` there is no n_links, and nothing is counted for it."""
-    members, classes, links = near_join(docs, id_col, text_col)
-    parts = cut(connected_components(links))
-    linked = classes.select("cid", "rep").join(parts.withColumnRenamed("node", "cid"), "cid")
+    members, classes, links, counts = near_join(docs, id_col, text_col, with_links)
+    linked = classes.select("cid", "rep").join(connected_components(links).withColumnRenamed("node", "cid"), "cid")
     root = linked.groupBy("component").agg(F.min("rep").alias("class_id"))
     of = linked.join(root, "component").select("cid", "component", "class_id")
-    counts = []
+    told = []
     if with_links:
-        texts = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
-        of = of.join(_link_counts(texts, classes, parts), "cid")
-        counts = [F.coalesce("n_links", F.lit(0)).alias("n_links")]
+        of = of.join(counts, "cid")
+        told = [F.coalesce("n_links", F.lit(0)).alias("n_links")]
     whole = classes.join(of, "cid", "left").select(
-        "fp1", "fp2", F.coalesce("class_id", "rep").alias("class_id"), *counts,
+        "fp1", "fp2", F.coalesce("class_id", "rep").alias("class_id"), *told,
         F.col("rep").alias("text_class"), F.col("size").alias("n_same"), F.coalesce("component", "cid").alias("class_key"),
     )
     found = join_by_hot_key(members, cut(whole), ["fp1", "fp2"], "n_same").drop("fp1", "fp2")

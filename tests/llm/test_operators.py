@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from semindex.llm import bpe, decontaminate, exact_dedup, langid, near_join, pii, quality, repeats, secrets, toxicity
@@ -149,25 +150,86 @@ def test_near_links_are_all_counted(spark, monkeypatch):
         assert dict(pairs(near_join.near_duplicate_classes(frame.repartition(parts)), "doc_id", "n_links")) == want
 
 
-def bucket_pairs(spark, buckets):
-    """Pairs that _cross_pairs() finds in ``buckets`` (key to cids); all sketches are equal, labels
-    are the cids, and no set follows any shingle further down."""
-    cids = sorted({c for members in buckets.values() for c in members})
-    facts = ", ".join(f"{c} long" for c in near_join.SKETCH)
-    empty = [[] for _ in range(near_join.RUNS)]
-    classes = spark.createDataFrame([(c, 100, *[0] * near_join.WORDS, empty, empty) for c in cids], f"cid long, n int, {facts}, t1 array<array<bigint>>, t2 array<array<bigint>>")
-    rows = spark.createDataFrame([(k, 0, c, c) for k, members in buckets.items() for c in members], "key long, run int, cid long, label long")
-    return pairs(near_join._cross_pairs(classes, rows), "a", "b")
-
-
-def test_near_pair_of_a_small_and_a_large_bucket(spark, monkeypatch):
-    monkeypatch.setattr(near_join, "BUCKET", 4)
-    assert (0, 1) in bucket_pairs(spark, {1: range(9), 2: (0, 1)})
-
-
-def test_near_pairs_of_a_large_bucket(spark, monkeypatch):
-    monkeypatch.setattr(near_join, "BUCKET", 4)
-    assert bucket_pairs(spark, {1: range(30)}) == [(a, b) for a in range(30) for b in range(a + 1, 30)]
+def test_near_blocks_hold_every_pair(spark):
+    """Every pair of a bucket meets in one cell and only there, whatever the number of blocks."""
+    rows = spark.createDataFrame([(k, c, blocks) for k, size, blocks in ((1, 30, 5), (2, 2, 1), (3, 9, 9), (4, 40, 2)) for c in range(size)], "key long, cid long, blocks long")
+    met = []
+    for row in near_join._dealt(rows, "key", ["key", "cid"]).collect():
+        own = len({m.block for m in row.members}) == 1
+        met += [(x.key, min(x.cid, y.cid), max(x.cid, y.cid)) for i, x in enumerate(row.members) for y in row.members[:i] if own or x.block != y.block]
+    assert sorted(met) == sorted((k, a, b) for k, size in ((1, 30), (2, 2), (3, 9), (4, 40)) for b in range(size) for a in range(b))
+
+
+def test_near_cells_connect_what_matches():
+    rng = np.random.default_rng(3)
+    for m, x, share in ((1, 1, 0.5), (2, 2, 1.0), (40, 40, 0.03), (40, 15, 0.05), (60, 60, 0.6), (60, 30, 0.5), (50, 1, 0.1), (200, 200, 0.004)):
+        good = rng.random((m, m)) < share
+        good = np.triu(good, 1) | np.triu(good, 1).T
+        if x < m:
+            good[:x, :x] = good[x:, x:] = False
+        label = list(range(m))
+        for a, b in np.argwhere(good).tolist():
+            label = [label[a] if v == label[b] else v for v in label]
+        want = [label.index(v) for v in label]
+        assert near_join._connected(m, x, lambda i, part, good=good: good[i, part]).tolist() == want
+
+
+def test_near_recall_in_split_buckets(spark, monkeypatch):
+    """Pairs about the threshold that all share a passage, with buckets small enough that every one
+    with the passage is split to the last level and compared in blocks."""
+    monkeypatch.setattr(near_join, "BUCKET", 6)
+    monkeypatch.setattr(near_join, "BLOCK", 5)
+    rng = random.Random(21)
+    passage = [f"p{i}" for i in range(90)]
+    rows = []
+    for i in range(150):
+        own = passage + [f"d{i}x{j}" for j in range(30)]
+        other = list(own)
+        at = rng.randrange(95, 110)
+        other[at] = f"e{i}"
+        if i % 3:
+            other[rng.randrange(3, 80)] = f"f{i}"
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(other))]
+    want = fx.near_classes(rows)
+    assert len(set(want.values())) < 200
+    found = dict(pairs(near_join.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "class_id"))
+    linked = [i for i in want if want[i] != i]
+    assert sum(found[i] == want[i] for i in linked) >= 0.99 * len(linked)
+    assert all(want[found[i]] == want[i] for i in found)
+
+
+def test_near_runs_reach_the_recall():
+    """Simulated: two sets of the worst similarity whose paths are split at every level."""
+    rng = np.random.default_rng(5)
+    shared, trials = 200, 4000
+    rate = near_join.SPREAD / (shared / near_join.THRESHOLD)
+    missed = 0
+    for _ in range(trials):
+        pool = rng.binomial(shared, near_join.POOL / (shared / near_join.THRESHOLD))
+        paths = rng.binomial(shared, rate, near_join.RUNS).sum()
+        for _ in range(near_join.DEPTH - 1):
+            paths = rng.binomial(pool, near_join.SPREAD / near_join.POOL, paths).sum() if paths else 0
+        missed += paths == 0
+    assert missed <= 4
+
+
+def test_near_link_counts_of_varied_copies(spark, monkeypatch):
+    """The 150 near copies of the test above: links by brute force, 1332 ends of links among them."""
+    monkeypatch.setattr(near_join, "CELL", 2000)
+    rng = random.Random(5)
+    base = fx.prose(rng, 120).split()
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.randint(0, 7)):
+            words[rng.randrange(len(words))] = f"w{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    sets = {i: fx.shingle_set(t) for i, t in rows}
+    distinct = set(sets.values())
+    want = {i: sum(a != b and len(a & b) / len(a | b) >= 0.8 for b in distinct) for i, a in sets.items()}
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (2, 9):
+        assert dict(pairs(near_join.near_duplicate_classes(frame.repartition(parts)), "doc_id", "n_links")) == want
 
 
 def test_repeats(docs, rows):
