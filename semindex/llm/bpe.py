@@ -34,9 +34,6 @@ from semindex.llm.common import scan_parallelism, table, tidied, tidy
 
 BLOCK_CHARS = 24_000_000
 VOCABULARY = "word_bpe_49k.json"
-#: Distinct words that a task remembers; beyond it the memory starts anew (a word may then be encoded again).
-REMEMBERED = 200_000
-
 
 def default_path() -> str:
     import public_tokenizers
@@ -85,7 +82,7 @@ class Block:
         order = np.argsort(-count, kind="stable")
         rank = np.empty(len(words), np.uint32)
         rank[order] = np.arange(len(words), dtype=np.uint32)
-        part = np.fromiter((zlib.crc32(words[i]) % parts for i in order), np.uint16, len(words))
+        part = np.fromiter((zlib.crc32(words[i]) % parts for i in order), np.uint32, len(words))
         yield home % parts, home, block, 0, len(words), np.frombuffer(self.docs, np.int64).tobytes() + bytes(self.null), _pack(np.frombuffer(self.counts, np.uint32)), _pack(rank[at]) if len(at) else b"", b"", _pack(part) if len(part) else b""
         by_part = np.argsort(part, kind="stable")
         bounds = np.searchsorted(part[by_part], np.arange(parts + 1))
@@ -104,7 +101,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class Words:
-    """Encodes words, each once, and knows their ids."""
+    """Encodes the words of a partition, each once, and knows their ids: as much memory as the
+    partition has distinct words, of which there are fewer the more partitions there are."""
 
     def __init__(self, vocabulary: str) -> None:
         import os
@@ -121,8 +119,6 @@ class Words:
     def ids(self, words: list[bytes]) -> tuple[np.ndarray, bytes]:
         """(number of ids of each word, all ids as bytes of ``kind``)."""
         known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
         new = [w for w in words if w not in known]
         for i in range(0, len(new), 2_000):
             some = new[i : i + 2_000]
@@ -156,7 +152,7 @@ def encode(
         told = file.read()
     context = docs.sparkSession.sparkContext
     vocabulary, id_pieces = context.broadcast(told), context.broadcast(pieces(told))
-    parts = min(8191, max(17, scan_parallelism(docs) | 1))
+    parts = max(17, scan_parallelism(docs) | 1)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
@@ -212,7 +208,7 @@ def encode(
                     held[int(row[7])] = ([" ".join(number[a:b]) for a, b in spans], [" ".join(piece[a:b]) for a, b in spans], lengths, ids)
                     continue
                 n_docs = len(row[5]) // 9
-                part = _unpack(row[9], row[4], np.uint16) if row[4] else np.zeros(0, np.uint16)
+                part = _unpack(row[9], row[4], np.uint32) if row[4] else np.zeros(0, np.uint32)
                 if sum(len(h[2]) for h in held.values()) != row[4]:
                     raise RuntimeError(f"block {current}: not all words came back")
                 number, piece, lengths, first = [""] * row[4], [""] * row[4], np.zeros(row[4], np.int64), np.zeros(row[4], np.int64)

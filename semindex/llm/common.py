@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import functools
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -25,10 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir; a folder of our own only
-    where that is unset (tests, local mode)."""
+    where that is unset in local mode (tests), for on a cluster executors couldn't see it."""
     context = spark.sparkContext._jsc.sc()
     if not context.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="semindex-ckpt-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="semindex-ckpt-"))
     return context.getCheckpointDir().get()
 
 
@@ -52,11 +56,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write as Parquet under the shared folder and read again. The files stay until that folder goes."""
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write as Parquet under the shared folder and read again; the path is for discard()."""
     path = f"{_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete what stored() has written, when nothing reads it any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def same_order(docs: DataFrame) -> Column:
+    """A hash of all columns of a row: decides ties between rows that agree in what counts."""
+    return F.xxhash64(*[F.col(f"`{name}`") if "map" not in kind else F.to_json(F.col(f"`{name}`")) for name, kind in docs.dtypes])
+
+
+def fit_rows(docs: DataFrame, labelled: DataFrame, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_t, _y): text and label of ``rows`` labelled documents at most, those whose ids hash lowest;
+    ``labelled`` has _id and _y. Of an id that repeats, the largest label and the largest text count.
+    The ids are chosen from narrow rows first and broadcast, ``rows`` of them at most. (Checkpointed.)"""
+    ids = labelled.filter("_id is not null and _y is not null").groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
+    texts = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_t")).join(F.broadcast(ids), "_id")
+    return cut(texts.groupBy("_id").agg(F.max(F.struct("_t", "_y")).alias("r")).select("r._t", "r._y"))
 
 
 #: At most so many keys are broadcast, after they have been counted.

@@ -4,8 +4,10 @@ Texts are equal when identical after lower-casing A-Z only; null counts as the e
 Rows are grouped by a 128-bit hash of the normalised text *and* the text itself, so the bytes
 are compared inside each hash group and a collision makes two groups, not one. Aggregation is
 partial before the shuffle: a group that holds a third of all rows leaves each map task as one
-row. Ties and repeated rows: equal ids are one id; a null id stays only in a group without others. Empty tables give empty results. Other
-columns of the input are never read.
+row. Ties and repeated rows: equal ids are one id; a null id stays
+only in a group without others; of rows with equal ids and texts the drop keeps the one whose columns
+hash lowest. A very long text is one row like any other. Empty tables give empty results. Other
+columns of the input are never read but by the drop, which returns them.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semindex.llm.common import cut, join_by_hot_key, table, text_or_empty
+from semindex.llm.common import cut, join_by_hot_key, same_order, table, text_or_empty
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -57,7 +59,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     row = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
         normalised(text_col).alias("_norm"),
-        F.struct(F.col(id_col).isNull() if keep == "min" else F.col(id_col).isNotNull(), F.col(id_col), F.xxhash64(F.col(text_col))).alias("_order"),
+        F.struct(F.col(id_col).isNull() if keep == "min" else F.col(id_col).isNotNull(), F.col(id_col), F.xxhash64(F.col(text_col)), same_order(docs)).alias("_order"),
     )
     kept = row.groupBy(F.unhex(F.md5("_norm")).alias("_h"), "_norm").agg(pick("_row", "_order").alias("_row"))
     return kept.select("_row.*")

@@ -5,33 +5,36 @@ length; the maximum of each filter over a window feeds a softmax layer. All of i
 gradient descent on labelled texts. A text is scored by the mean of the logits of all its windows,
 so every byte counts.
 
-The fit takes at most FIT_ROWS labelled rows (those with the smallest hashes of their ids) and
-WINDOWS_EACH windows of each, chosen evenly over the text; that bound is for the fit only.
-
-Texts that are null or have no letter get ``und`` with score 0. Without labelled rows every text is
-``und``; with one label only, that label has probability 1. Ids may repeat or be null: each row
-gives one row. Empty tables give empty results. Other columns are never inputs.
+The fit takes FIT_WINDOWS windows at most, of FIT_ROWS labelled rows at most (those with the
+smallest hashes of their ids): of each text the window that hashes lowest, then of each the next, so
+that any part of a text can be taken. STEPS of gradient descent follow, however many windows there
+are. Those bounds are for the fit only, and all that the driver gets are these windows.
+
+Texts that are null or have no letter (Unicode category L) get ``und`` with score 0. Without labelled
+rows every text is ``und``; with one label only, that label has probability 1. Very long texts are
+scored whole. Ids may repeat or be null: each row gives one row, and a null id is never held out.
+Empty tables give empty results. Other columns are never inputs.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semindex.llm import textbytes as tb
-from semindex.llm.common import table, tidied, tidy
-from semindex.llm.toxicity import crc_fold
+from semindex.llm.common import fit_rows, table, tidied
+from semindex.llm.toxicity import crc_fold, held_out
 
 WINDOW, WIDTHS, FILTERS, DIM = 128, (2, 3, 4), 12, 6
-FIT_ROWS, WINDOWS_EACH, EPOCHS, RATE, BATCH = 4_000, 4, 6, 0.01, 128
+FIT_ROWS, FIT_WINDOWS, STEPS, RATE, BATCH = 4_000, 16_000, 750, 0.01, 128
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 PAD = 32  # windows at a text's end are filled with spaces
 
 
@@ -131,46 +134,55 @@ class Network:
         return self.__dict__ | {"_tables": None}
 
 
+def fit_windows(text: str, label: str) -> list[tuple[int, int, bytes, str]]:
+    """(rank by hash, hash, window, label) of a text's windows."""
+    own = windows(np.frombuffer(text.encode("utf-8", "replace"), np.uint8))
+    places = np.arange(len(own), dtype=tb.U)
+    hashes = tb.mix((own.astype(tb.U) * tb.mix(np.arange(1, WINDOW + 1, dtype=tb.U))).sum(1, dtype=tb.U) + places)
+    return [(rank, int(hashes[k] >> tb.U(1)), own[k].tobytes(), label) for rank, k in enumerate(np.argsort(hashes).tolist())]
+
+
 def fit(rows: list[tuple[str, str]], seed: int = 7) -> Network:
-    """Train on (text, label) rows with Adam; the same rows give the same network."""
-    rows = sorted(rows)
-    net = Network.start(sorted({y for _, y in rows}), seed)
+    """Train on (text, label) rows."""
+    return fit_on(sorted(w for t, y in rows for w in fit_windows(t, y))[:FIT_WINDOWS], seed)
+
+
+def fit_on(chosen: list[tuple[int, int, bytes, str]], seed: int = 7) -> Network:
+    """Train on windows, as of fit_windows(), with Adam; the same windows give the same network."""
+    chosen = sorted(chosen)
+    net = Network.start(sorted({w[3] for w in chosen}), seed)
     if len(net.labels) < 2:
         return net
     number = {y: i for i, y in enumerate(net.labels)}
-    x, y = [], []
-    for text, label in rows:
-        own = windows(np.frombuffer(text.encode("utf-8", "replace"), np.uint8))
-        full = own[: max(1, len(own) - 1)]
-        for k in sorted({int(i) for i in np.linspace(0, len(full) - 1, min(WINDOWS_EACH, len(full)))}):
-            x.append(full[k])
-            y.append(number[label])
-    x, y = np.stack(x), np.array(y)
+    x, y = np.stack([np.frombuffer(w[2], np.uint8) for w in chosen]), np.array([number[w[3]] for w in chosen])
     rng = np.random.default_rng(seed)
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
-    step = 0
-    for _ in range(EPOCHS if len(x) > 4 * BATCH else 40):
-        order = rng.permutation(len(x))
-        for i in range(0, len(x), BATCH):
-            some = order[i : i + BATCH]
-            _, grads = net.gradients(x[some], y[some])
-            step += 1
-            for p, g, (m, v) in zip(net.parameters(), grads, state, strict=True):
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                p -= (RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+    order = np.zeros(0, int)
+    for step in range(1, STEPS + 1):
+        if len(order) < min(BATCH, len(x)):
+            order = rng.permutation(len(x))
+        some, order = order[:BATCH], order[BATCH:]
+        _, grads = net.gradients(x[some], y[some])
+        for p, g, (m, v) in zip(net.parameters(), grads, state, strict=True):
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            p -= (RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     return net
 
 
 def train(docs: DataFrame, fold_is, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network:
-    """Fit on at most FIT_ROWS rows with a language and a letter that satisfy ``fold_is`` (on _id)."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"), F.col(lang_col).cast("string").alias("_y"))
-    rows = rows.filter(F.col("_y").isNotNull() & F.col("_id").isNotNull() & F.col("_t").rlike(r"\p{L}")).filter(fold_is)
-    # ids first, so that texts are read for the chosen rows only
-    ids = F.broadcast(rows.select("_id").distinct().orderBy(F.xxhash64("_id"), "_id").limit(FIT_ROWS))
-    net = fit([(r[0], r[1]) for r in rows.join(ids, "_id").select("_t", "_y").toLocalIterator()])
-    tidy()
-    return net
+    """Fit on rows with a language and a letter that satisfy ``fold_is`` (on _id)."""
+    named = docs.filter(F.col(text_col).cast("string").rlike(r"\p{L}")).select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_y"))
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                found = zip(*fit_windows(text.as_py(), label), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, (pa.int32(), pa.int64(), pa.binary(), pa.string()), strict=True)], names=["nth", "h", "w", "y"])
+
+    every = fit_rows(docs, named.filter(fold_is), FIT_ROWS, id_col, text_col).mapInArrow(tidied(cut_up), "nth int, h long, w binary, y string")
+    chosen = every.orderBy("nth", "h", "w", "y").limit(FIT_WINDOWS).collect()
+    return fit_on([(r[0], r[1], bytes(r[2]), r[3]) for r in chosen])
 
 
 def identify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,4 +225,4 @@ def identify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: st
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, train(docs, crc_fold(3) != 1))
-    return found.select("doc_id", (crc_fold(3, "doc_id") == 1).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out(3, 1), "lang_pred", "score")

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semindex.llm import textbytes as tb
-from semindex.llm.common import cut, join_by_hot_key, table, tidied, without
+from semindex.llm.common import cut, join_by_hot_key, same_order, table, tidied, without
 from semindex.llm.graph import connected_components
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -393,7 +393,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each class, with its own columns: that with the smallest id, and of
-    rows with that id the one whose text hashes lowest."""
+    rows with that id the one whose text hashes lowest, then the one whose columns do."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     classes = cut(near_duplicate_classes(docs, id_col, text_col, with_hash=True, with_links=False).select("doc_id", "class_key", "text_hash"))
     # the narrow rows of a hot class meet as one minimum of each task
@@ -403,7 +403,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     left = without(docs, [docs[id_col].cast("long"), F.xxhash64(text)], dropped)
     if classes.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():
         return left
-    return left.dropDuplicates([id_col, text_col])  # rows that repeat in full
+    # rows that agree in id and text; whole rows take part in the partial aggregation
+    row = left.select(F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("_row"), F.col(id_col).alias("_id"), text.alias("_t"), same_order(left).alias("_o"))
+    return row.groupBy("_id", "_t").agg(F.min_by("_row", "_o").alias("_row")).select("_row.*")
 
 
 def op3_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:

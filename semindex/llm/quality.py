@@ -8,12 +8,13 @@ the vectors are the same whatever the partitions are. What comes to the driver h
 
 A document is the mean of its tokens' word vectors and index vectors. A two-layer network learns
 the labels from the vectors of at most FIT_ROWS labelled documents (those with the smallest hashes
-of their ids; documented bound of the fit only). A temperature, fitted on documents held back from
-the training, calibrates its probabilities.
+of their ids; documented bound of the fit only) in STEPS steps, however many there are. A
+temperature, fitted on documents held back from the training, calibrates its probabilities.
 
-Null and empty texts have no tokens: a zero vector, scored by the network like any other. Without
-labels of both kinds the score is the share of label 1 (0.5 without labels). Ids may repeat or be
-null: each row gives one row. Empty tables give empty results. Other columns are never inputs.
+Null and empty texts have no tokens: a zero vector, scored by the network like any other. Very long
+texts are pooled whole. Without labels of both kinds the score is the share of label 1 (0.5 without
+labels). Ids may repeat or be null: each row gives one row, and a null id is never held out. Empty
+tables give empty results. Other columns are never inputs.
 """
 
 from __future__ import annotations
@@ -27,11 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semindex.llm import textbytes as tb
-from semindex.llm.common import table, tidied
-from semindex.llm.toxicity import crc_fold
+from semindex.llm.common import fit_rows, table, tidied
+from semindex.llm.toxicity import crc_fold, held_out
 
 BUCKETS, DIM, NONZERO, REACH = 8192, 32, 4, 2
-FIT_ROWS, HIDDEN, EPOCHS, RATE, BATCH, DECAY = 20_000, 32, 60, 0.01, 64, 1e-4
+FIT_ROWS, HIDDEN, STEPS, RATE, BATCH, DECAY = 20_000, 32, 6_000, 0.01, 64, 1e-4
 THRESHOLD = 0.3
 
 _CLASS = np.full(256, 2, np.uint8)  # signs
@@ -169,22 +170,21 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 11) -> Network:
     params = [net.w1, net.b1, net.w2, np.zeros(1)]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     xs = (x - net.mean) / net.spread
-    step = 0
-    for epoch in range(max(3, min(EPOCHS, 400_000 // len(train)))):
-        shuffled = rng.permutation(train)
-        for i in range(0, len(shuffled), BATCH):
-            some = shuffled[i : i + BATCH]
-            h = np.maximum(xs[some] @ params[0] + params[1], 0)
-            p = 1 / (1 + np.exp(-np.clip(h @ params[2] + params[3], -30, 30)))
-            d = (p - y[some]) / len(some)
-            dh = np.outer(d, params[2]) * (h > 0)
-            grads = [xs[some].T @ dh + DECAY * params[0], dh.sum(0), h.T @ d + DECAY * params[2], d.sum(keepdims=True)]
-            step += 1
-            rate = RATE * 0.5 ** (epoch / 20)
-            for q, g, (m, v) in zip(params, grads, moments, strict=True):
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                q -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    order = np.zeros(0, int)
+    for step in range(1, STEPS + 1):
+        if len(order) < min(BATCH, len(train)):
+            order = rng.permutation(train)
+        some, order = order[:BATCH], order[BATCH:]
+        h = np.maximum(xs[some] @ params[0] + params[1], 0)
+        p = 1 / (1 + np.exp(-np.clip(h @ params[2] + params[3], -30, 30)))
+        d = (p - y[some]) / len(some)
+        dh = np.outer(d, params[2]) * (h > 0)
+        grads = [xs[some].T @ dh + DECAY * params[0], dh.sum(0), h.T @ d + DECAY * params[2], d.sum(keepdims=True)]
+        rate = RATE * 0.5 ** (3 * step / STEPS)
+        for q, g, (m, v) in zip(params, grads, moments, strict=True):
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            q -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     net.b2 = float(params[3][0])
     z = net.logits(x[back])
     losses = [(float(np.mean(np.logaddexp(0, np.where(y[back] == 1, -z, z) / t))), t) for t in np.exp(np.linspace(-1.5, 2.5, 81))]
@@ -193,22 +193,17 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 11) -> Network:
 
 
 def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, fold_is, id_col: str = "doc_id", text_col: str = "text") -> Network:
-    ids = (
-        labels.select(F.col(id_col).alias("_id"), F.col("quality").cast("int").alias("_y"))
-        .filter(F.col("_y").isNotNull() & F.col("_id").isNotNull()).groupBy("_id").agg(F.max("_y").alias("_y"))
-        .filter(fold_is).orderBy(F.xxhash64("_id"), "_id").limit(FIT_ROWS)
-    )
+    labelled = labels.select(F.col(id_col).alias("_id"), F.col("quality").cast("int").alias("_y")).filter(fold_is)
     sent = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = pooled(batch.column(1), sent.value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x.astype(np.float64)), pa.list_(pa.float64()))], names=["_id", "_y", "x"])
+            x = pooled(batch.column(0), sent.value)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(x.astype(np.float64)), pa.list_(pa.float64()))], names=["_y", "x"])
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")).join(F.broadcast(ids), "_id").selectExpr("_id", "_t", "_y")
-    # ids that repeat give several rows; sorted, so that the fit doesn't depend on their order
-    found = sorted((r[0], r[1], tuple(r[2])) for r in rows.mapInArrow(tidied(run), "_id long, _y int, x array<double>").toLocalIterator())
-    return fit(np.array([r[2] for r in found], float), np.array([r[1] for r in found], float))
+    # sorted, so that the fit doesn't depend on their order
+    found = sorted((tuple(r[1]), r[0]) for r in fit_rows(docs, labelled, FIT_ROWS, id_col, text_col).mapInArrow(tidied(run), "_y int, x array<double>").toLocalIterator())
+    return fit(np.array([r[0] for r in found], float), np.array([r[1] for r in found], float))
 
 
 def score_quality(docs: DataFrame, vectors: np.ndarray, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,4 +223,4 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = word_vectors(docs)
     net = train(docs, table(spark, sf_dir, "labels"), vectors, crc_fold(5) != 0)
     scored = score_quality(docs, vectors, net)
-    return scored.select("doc_id", (crc_fold(5, "doc_id") == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(5, 0), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -1,22 +1,26 @@
 """Toxicity scoring (operator 1): a weighted lexicon matched by Aho-Corasick.
 
-Text is folded first: case, homoglyphs, accents that decorate, digits and signs that stand for
+Text is folded first: case, homoglyphs, invisible characters, digits and signs that stand for
 letters. The automaton finds lexicon entries at word starts (and whole words, for entries marked
 so); exception phrases cover hits that are meant harmlessly. The summed weights, normalised by
 length, become a score between 0 and 1.
 
 The lexicon starts from a few fixed words and learns the rest from labelled rows: word starts and
 words whose share among toxic documents is far above their share among the others. It is fitted
-on at most FIT_ROWS labelled rows (those with the smallest hashes of their ids) and has at most
-MAX_ENTRIES entries, so both the fit on the driver and the broadcast of the lexicon are bounded.
+on at most FIT_ROWS labelled rows (those with the smallest hashes of their ids; the documented bound
+of the fit). Executors count the words of whole texts; the driver gets the few that tell the labels
+apart, each in MIN_DOCS toxic rows at least, and three numbers a row.
 
-Null and empty texts score as texts without hits. Ids may repeat: each row gives one row. Without
-any labelled row the fixed words are used. Other columns are never inputs.
+Null and empty texts score as texts without hits; very long texts are scored whole. Ids may repeat or
+be null: each row gives one row, and a null id is never held out. Without any labelled row the fixed
+words are used. Empty tables give empty results. Other columns are never inputs.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semindex.llm.common import table, tidied, tidy
+from semindex.llm.common import fit_rows, table, tidied, tidy
 
-FIT_ROWS = 10_000
-MAX_ENTRIES = 2_000
+FIT_ROWS = 20_000
 MIN_DOCS = 5
+ODDS = 2.0
 THRESHOLD = 0.3
 
 # Seed words with weights, and phrases in which a word is harmless.
@@ -41,12 +45,6 @@ LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$
 _GLYPHS = {ord(a): b for a, b in HOMOGLYPHS.items()} | {c: chr(c - 0xFF21 + 97) for c in range(0xFF21, 0xFF3B)} | {c: chr(c - 0xFF41 + 97) for c in range(0xFF41, 0xFF5B)} | dict.fromkeys((0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD))
 
 
-def _letter_mask() -> np.ndarray:
-    mask = np.zeros(256, bool)
-    mask[list(range(97, 123))] = True
-    return mask
-
-
 def fold(text: str) -> str:
     """Lower case, homoglyphs to Latin letters, and digits or signs to letters where a letter
     touches them on both sides or on the left and right through other such signs."""
@@ -58,8 +56,6 @@ def fold(text: str) -> str:
     return out
 
 
-import re  # noqa: E402
-
 _LEET_TABLE = str.maketrans(LEET)
 _SIGNS = re.escape("".join(LEET))
 #: A sign run inside a word, or signs at a word's start: "1d1ot", "m0r0n", "$tupid".
@@ -114,16 +110,21 @@ class Lexicon:
                     if abs(weight) > abs(best.get(start, 0.0)):
                         best[start] = weight
         if covered:
-            best = {s: w for s, w in best.items() if not any(a <= s <= b for a, b in covered)}
+            inside = {p for a, b in covered for p in range(a, b + 1)}
+            best = {s: w for s, w in best.items() if s not in inside}
         return sum(best.values()), len(best)
 
     def score(self, text: str | None) -> float:
         weight, _ = self.raw(text)
-        words = max(1.0, len(text or "") / 6)
-        z = self.scale * weight / words**self.power + self.bias
+        z = self.scale * weight / length(text) ** self.power + self.bias
         return 1 / (1 + math.exp(-min(30.0, max(-30.0, z))))
 
 
+def length(text: str | None) -> float:
+    """Words of a text, about."""
+    return max(1.0, len(text or "") / 6)
+
+
 _WORD = re.compile(r"[^\W\d_]+")
 STARTS = (4, 5, 6, 8)
 
@@ -131,55 +132,34 @@ STARTS = (4, 5, 6, 8)
 def candidates(text: str | None) -> set[tuple[str, bool]]:
     """Words (whole) and word starts of a folded text."""
     words = set(_WORD.findall(fold(text or "")))
-    out = {(w, True) for w in words if 3 <= len(w) <= 24}
+    out = {(w, True) for w in words if len(w) >= 3}
     for k in STARTS:
         out |= {(w[:k], False) for w in words if len(w) >= k}
     return out
 
 
-def fit(rows: list[tuple[str | None, int]]) -> Lexicon:
-    """Learn entries and the three numbers of the score from (text, label) rows."""
-    rows = sorted(((t or "", int(y)) for t, y in rows), key=lambda r: (r[1], r[0]))
-    pos, neg = sum(y for _, y in rows), sum(1 - y for _, y in rows)
-    entries: dict[tuple[str, bool], float] = {(w, False): v for w, v in SEEDS.items()}
-    if not pos or not neg:
-        return Lexicon(entries, scale=1.0, bias=-2.0)
-    from collections import Counter
-
-    n1: Counter = Counter()
-    for t, y in rows:
-        if y:
-            n1.update(candidates(t))
-    n1 = Counter({key: n for key, n in n1.items() if n >= MIN_DOCS})  # rarer ones can't become entries
-    n0: Counter = Counter()
-    for t, y in rows:
-        if not y:
-            n0.update(key for key in candidates(t) if key in n1)
+def lexicon_of(counts: dict[tuple[str, bool], tuple[int, int]], pos: int, neg: int) -> Lexicon:
+    """The entries that tell ``pos`` toxic rows from ``neg`` others; ``counts`` has the number of
+    rows of both kinds with each candidate."""
     found = []
-    for key, a in n1.items():
-        b = n0.get(key, 0)
-        if a < MIN_DOCS:
-            continue
+    for key, (a, b) in counts.items():
         odds = math.log(((a + 0.5) / (pos + 1)) / ((b + 0.5) / (neg + 1)))
-        p, q = a / pos, b / neg
         pooled = (a + b) / (pos + neg)
-        z = (p - q) / math.sqrt(max(1e-12, pooled * (1 - pooled) * (1 / pos + 1 / neg)))
-        if odds > 2.0 and z > 6.0:
-            found.append((z, key, min(6.0, odds)))
+        z = (a / pos - b / neg) / math.sqrt(max(1e-12, pooled * (1 - pooled) * (1 / pos + 1 / neg)))
+        if a >= MIN_DOCS and odds > ODDS and z > 6.0:
+            found.append((key, min(6.0, odds)))
     # a word start that nearly always continues the same way gives way to the longer entry
     longest: dict[str, int] = {}
-    for _, (word, whole), _ in found:
+    for (word, whole), _ in found:
         for k in range(3, len(word) + whole):
-            longest[word[:k]] = max(longest.get(word[:k], 0), n1[word, whole])
-    found = [x for x in found if x[1][1] or longest.get(x[1][0], 0) < 0.9 * n1[x[1]]]
-    found.sort(key=lambda x: (-x[0], x[1]))
-    kept: dict[tuple[str, bool], float] = {}
-    for _, key, odds in found[:MAX_ENTRIES]:
-        kept[key] = odds
-    lexicon = Lexicon(entries | kept)
-    raws = np.array([lexicon.raw(t)[0] for t, _ in rows])
-    words = np.array([max(1.0, len(t) / 6) for t, _ in rows])
-    y = np.array([v for _, v in rows], float)
+            longest[word[:k]] = max(longest.get(word[:k], 0), counts[word, whole][0])
+    kept = {key: odds for key, odds in sorted(found) if key[1] or longest.get(key[0], 0) < 0.9 * counts[key][0]}
+    return Lexicon({(w, False): v for w, v in SEEDS.items()} | kept)
+
+
+def calibrate(lexicon: Lexicon, rows: list[tuple[float, float, int]]) -> Lexicon:
+    """Learn the three numbers of the score from (weight, words, label) rows."""
+    raws, words, y = (np.array(c, float) for c in zip(*sorted(rows), strict=True))
     best = None
     for power in (0.0, 0.25, 0.5, 0.75, 1.0):  # the length normalisation that explains the labels best
         x = raws / words**power
@@ -192,6 +172,18 @@ def fit(rows: list[tuple[str | None, int]]) -> Lexicon:
     return lexicon
 
 
+def fit(rows: list[tuple[str | None, int]]) -> Lexicon:
+    """Learn from (text, label) rows."""
+    pos = sum(y for _, y in rows)
+    if not pos or pos == len(rows):
+        return Lexicon({(w, False): v for w, v in SEEDS.items()})
+    both = Counter(), Counter()
+    for t, y in rows:
+        both[1 - y].update(candidates(t))
+    lexicon = lexicon_of({key: (n, both[1][key]) for key, n in both[0].items()}, pos, len(rows) - pos)
+    return calibrate(lexicon, [(lexicon.raw(t)[0], length(t), y) for t, y in rows])
+
+
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
     """Newton's method for one feature, lightly regularised."""
     spread = float(np.std(x)) or 1.0
@@ -208,23 +200,35 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, flo
     return float(w[0] / spread), float(w[1])
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, fold_is: object, rows: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str | None, int]]:
-    """At most ``rows`` labelled rows that satisfy ``fold_is``: those whose ids hash lowest.
+def fit_on(rows: DataFrame) -> Lexicon:
+    """fit() on a frame (_t, _y): the same lexicon, with texts read in the executors only."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = Counter(), Counter()
+            for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                both[1 - y].update(candidates(text.as_py()))
+            keys = list(both[0].keys() | both[1].keys())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), *[pa.array([n[k] for k in keys], pa.int64()) for n in both]],
+                names=["word", "whole", "a", "b"],
+            )
+
+    kinds = dict(rows.groupBy("_y").count().collect())
+    pos, neg = kinds.get(1, 0), kinds.get(0, 0)
+    if not pos or not neg:
+        return fit([])
+    counts = rows.mapInArrow(tidied(counted), "word string, whole boolean, a long, b long").groupBy("word", "whole").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    telling = counts.filter((F.col("a") >= MIN_DOCS) & (F.log((F.col("a") + 0.5) / (pos + 1)) - F.log((F.col("b") + 0.5) / (neg + 1)) > ODDS - 1e-6))
+    lexicon = lexicon_of({(r[0], r[1]): (r[2], r[3]) for r in telling.collect()}, pos, neg)
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x.as_py() for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([lexicon.raw(t)[0] for t in texts], pa.float64()), pa.array([length(t) for t in texts], pa.float64()), batch.column(1)], names=["raw", "words", "y"])
 
-    The bounded list of ids is taken from the narrow labels table first, so the texts are read
-    by a broadcast join with ``rows`` ids at most.
-    """
-    ids = (
-        labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y"))
-        .filter(F.col("_y").isNotNull() & F.col("_id").isNotNull())
-        .groupBy("_id").agg(F.max("_y").alias("_y"))
-        .filter(fold_is)
-        .orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    )
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")).join(F.broadcast(ids), "_id")
-    # documents can carry an id twice: the largest text is taken, so that the fit is the same each time
-    chosen = texts.groupBy("_id").agg(F.max(F.struct("_t", "_y")).alias("r"))
-    return [(r[0], r[1]) for r in chosen.select("r._t", "r._y").toLocalIterator()]
+    found = rows.mapInArrow(tidied(weighed), "raw double, words double, y int").collect()  # three numbers a row
+    return calibrate(lexicon, [tuple(r) for r in found])
 
 
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,18 +258,17 @@ def crc_fold(divisor: int, id_col: str = "_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % divisor
 
 
+def held_out(divisor: int, remainder: int, id_col: str = "doc_id"):
+    """Is the row of that fold? Null ids are of none."""
+    return F.coalesce(crc_fold(divisor, id_col) == remainder, F.lit(False)).alias("held_out")
+
+
 def train(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> Lexicon:
     docs = table(spark, sf_dir, "documents") if docs is None else docs
-    lexicon = fit(labelled(docs, table(spark, sf_dir, "labels"), "toxic", crc_fold(4) != 2, FIT_ROWS))
-    tidy()  # the driver, too, gives back what the fit took
-    return lexicon
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_y"))
+    return fit_on(fit_rows(docs, labels.filter(crc_fold(4) != 2), FIT_ROWS))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_toxicity(table(spark, sf_dir, "documents"), train(spark, sf_dir))
-    return scored.select(
-        "doc_id",
-        (crc_fold(4, "doc_id") == 2).alias("held_out"),
-        "score",
-        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
-    )
+    return scored.select("doc_id", held_out(4, 2), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -118,8 +118,11 @@ def overlap_docs(rows, items, window=12, allowed=2, least=5):
         for _, item in items:
             b = split(item)
             if len(b) < least:
+                if b and b == w:
+                    found.add(i)
                 continue
-            size, most = (window, allowed) if len(b) >= window else (len(b), 0)
+            size = min(window, len(b))
+            most = size * allowed // window
             for s in range(len(w) - size + 1):
                 if any(sum(x != y for x, y in zip(w[s : s + size], b[j : j + size], strict=True)) <= most for j in range(len(b) - size + 1)):
                     found.add(i)

@@ -1,10 +1,11 @@
 import hashlib
+import math
 import random
 
 import numpy as np
 import pytest
 
-from semindex.llm import bpe, decontaminate, exact_dedup, langid, near_join, pii, quality, repeats, secrets, toxicity
+from semindex.llm import bpe, common, decontaminate, exact_dedup, langid, near_join, pii, quality, repeats, secrets, toxicity
 
 from . import fixtures as fx
 
@@ -276,15 +277,19 @@ def test_bpe(spark):
 
 def test_overlaps(spark):
     rng = random.Random(4)
-    items = [(i, fx.prose(rng, n)) for i, n in enumerate((40, 25, 12, 8, 8, 3))] + [(7, None), (8, "")]
+    items = [(i, fx.prose(rng, n)) for i, n in enumerate((40, 25, 12, 8, 8, 3, 5, 6, 7, 9, 11))] + [(17, None), (18, ""), (19, "yes")]
     rows = []
     for i in range(60):
-        words = items[i % 5][1].split()
+        words = items[i % 11][1].split()
         part = words[rng.randrange(3) :][: rng.randint(6, 40)]
         for _ in range(rng.randint(0, 4)):
             part[rng.randrange(len(part))] = "changed"
         rows.append((i, fx.prose(rng, 10) + " " + ", ".join(part).upper() + ". " + fx.prose(rng, 10)))
-    rows += [(100 + i, fx.prose(rng, 80)) for i in range(20)] + [(200, None), (201, ""), (0, rows[0][1])]
+    rows += [(100 + i, fx.prose(rng, 80)) for i in range(20)] + [(200, None), (201, ""), (0, rows[0][1]), (202, "Yes!"), (203, "yes no"), (204, items[5][1]), (205, items[5][1] + " more")]
+    for i in range(30):  # one word changed in short items
+        words = items[6 + i % 5][1].split()
+        words[rng.randrange(len(words))] = "other"
+        rows.append((300 + i, f"{fx.prose(rng, 4)} {' '.join(words)} {fx.prose(rng, 3)}"))
     frame, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     want = fx.overlap_docs(rows, items)
     assert {r.doc_id for r in decontaminate.find_overlaps(frame, benchmark).collect()} == want
@@ -292,6 +297,30 @@ def test_overlaps(spark):
     assert sorted(r.doc_id for r in left.collect()) == sorted(r[0] for r in rows if r[0] not in want)
 
 
+def test_overlaps_of_null_ids_and_large_benchmarks(spark, monkeypatch):
+    """Null ids are told apart by text; the joins beyond the broadcast limits find the same."""
+    rng = random.Random(14)
+    item = fx.prose(rng, 30)
+    rows = [(None, f"{fx.prose(rng, 9)} {item}"), (None, fx.prose(rng, 40)), (None, None), (3, item), (3, item), (4, fx.prose(rng, 5000)), (5, f"{fx.prose(rng, 5000)} {item}")]
+    frame = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, item_id string, n_windows int")
+    benchmark = spark.createDataFrame([(1, item), (1, item), (None, item.upper())], "item_id long, text string")
+    want = sorted([(-1, rows[1][1]), (-1, ""), (4, rows[5][1])])
+    for limit in (decontaminate.BROADCAST_WINDOWS, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", limit)
+        monkeypatch.setattr(common, "BROADCAST_KEYS", limit)
+        left = decontaminate.drop_contaminated(frame, benchmark)
+        assert left.columns == frame.columns
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in left.collect()) == want
+
+
+def test_beyond_the_broadcast_limits(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(repeats, "BROADCAST_DOCS", 0)
+    monkeypatch.setattr(near_join, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(common, "BROADCAST_KEYS", 0)
+    assert pairs(repeats.remove_repeats(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == fx.repeats(rows)
+    assert sorted(r.doc_id for r in near_join.drop_near_duplicates(docs).collect()) == sorted(set(fx.near_classes(rows).values()))
+
+
 # --- classifiers -------------------------------------------------------------------------------
 
 
@@ -313,9 +342,123 @@ def test_toxicity_folds_and_learns():
     assert 0 <= lexicon.score(None) == lexicon.score("") < toxicity.THRESHOLD
 
 
-def test_language_network_gradients():
-    import numpy as np
+def classified_tables(spark, path):
+    """documents and labels with null and repeated ids, null, empty and very long texts, clashing columns."""
+    rng = random.Random(17)
+    rows = []
+    for i in range(240):
+        words = fx.prose(rng, rng.randint(5, 60)).split()
+        toxic, good, lang = i % 4 == 0, i % 3 != 0, "aa" if i % 2 else "bb"
+        if toxic:
+            words[rng.randrange(len(words))] = rng.choice(["badwordish", "nastyone", "b4dw0rdish"])
+        if not good:
+            words = [w + "&&" for w in words]
+        if lang == "bb":
+            words = [w.replace("a", "x").replace("o", "q") for w in words]
+        rows.append((i, " ".join(words), lang, int(good), int(toxic)))
+    more = [(None, "idiot nastyone", None), (None, None, "aa"), (900, "", "bb"), (901, "½ ² Ⅷ 12 !", "aa"), (902, fx.prose(rng, 30_000), None), (5, rows[5][1], "aa"), (5, "another text of that id", "bb")]
+    docs = [(*r[:3], "s", 1, 0.5, True, "z", 7) for r in rows] + [(*r, "s", 1, 0.5, False, "z", 7) for r in more]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long, score double, held_out boolean, _y string, predicted int").write.parquet(f"{path}/documents.parquet")
+    labels = [(i, good, toxic) for i, _, _, good, toxic in rows] + [(None, 1, 1), (7, None, None), (9, rows[9][3], rows[9][4])]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return [d[:3] for d in docs], labels
+
+
+def digest_rows(frame, *columns):
+    return sorted((tuple(-1 if v is None else round(v, 9) if isinstance(v, float) else v for v in (r[c] for c in columns)) for r in frame.collect()), key=str)
+
+
+def test_classifier_queries_against_brute_force(spark, tmp_path):
+    """Queries op1, op6 and op9 from end to end: the fit of the plain functions on the same rows,
+    and scores computed without automaton, tables of pairs, batches or vectorised sums."""
+    import zlib
+
+    docs, labels = classified_tables(spark, tmp_path)
+    path = str(tmp_path)
+    crc = lambda i, n: -1 if i is None else zlib.crc32(str(i).encode()) % n
+    of = {}
+    for i, t, _ in docs:
+        of[i] = max(of.get(i, ""), t or "")
+
+    # op1
+    kind = {i: max(y for j, _, y in labels if j == i and y is not None) for i, _, y in labels if i is not None and y is not None}
+    lexicon = toxicity.fit([(of[i], y) for i, y in kind.items() if crc(i, 4) != 2])
+    assert toxicity.train(spark, path) == lexicon
+
+    def weight(text):
+        folded, best = toxicity.fold(text), {}
+        for (word, whole), value in lexicon.entries.items():
+            for at in range(len(folded)):
+                end = at + len(word)
+                if folded.startswith(word, at) and not (at and folded[at - 1].isalpha()) and not (whole and end < len(folded) and folded[end].isalpha()):
+                    if abs(value) > abs(best.get(at, 0)):
+                        best[at] = value
+        return sum(best.values())
+
+    long_text = docs[244][1]
+    assert len(long_text) > 100_000 and not any(w in long_text for w, _ in lexicon.entries)
+    want = []
+    for i, t, _ in docs:
+        raw = 0.0 if t is long_text else weight(t or "")
+        score = 1 / (1 + math.exp(-min(30, max(-30, lexicon.scale * raw / max(1, len(t or "") / 6) ** lexicon.power + lexicon.bias))))
+        want.append((-1 if i is None else i, crc(i, 4) == 2, round(score, 9), int(score >= 0.3)))
+    assert digest_rows(toxicity.op1_toxicity(spark, path), "doc_id", "held_out", "score", "predicted") == sorted(want, key=str)
+
+    # op6
+    langs = {}
+    for i, t, y in docs:
+        if i is not None and y is not None and t and any(c.isalpha() for c in t):
+            langs[i] = max(langs.get(i, ""), y)
+    net = langid.fit([(of[i], y) for i, y in langs.items() if crc(i, 3) != 1])
+    want = []
+    for i, t, _ in docs:
+        if not t or not any(c.isalpha() for c in t):
+            want.append((-1 if i is None else i, crc(i, 3) == 1, "und", 0.0))
+            continue
+        data = t.lower().encode() + b" " * (-len(t.encode()) % langid.WINDOW)
+        total = np.zeros(len(net.labels))
+        for at in range(0, len(data), langid.WINDOW):
+            e = net.embed[np.frombuffer(data[at : at + langid.WINDOW], np.uint8)].astype(float)
+            h = [max(0.0, max((e[k : k + w].ravel() @ f[:, j]) + b[j] for k in range(langid.WINDOW - w + 1))) for w, f, b in zip(langid.WIDTHS, net.filters, net.bias, strict=True) for j in range(langid.FILTERS)] if at < 5 * langid.WINDOW else None
+            if h is None:
+                break
+            total += np.array(h) @ net.out + net.out_bias
+        else:
+            mean = total / (len(data) // langid.WINDOW)
+            p = np.exp(mean - mean.max())
+            want.append((i if i is not None else -1, crc(i, 3) == 1, net.labels[int(p.argmax())], float((p / p.sum()).max())))
+    got = {(r[0], r[1], r[2], round(r[3], 3)) for r in digest_rows(langid.op6_langid(spark, path), "doc_id", "held_out", "lang_pred", "score")}
+    assert len(want) > 200 and {(*w[:3], round(w[3], 3)) for w in want} <= got or all(any(g[:3] == w[:3] and abs(g[3] - w[3]) < 2e-3 for g in got) for w in want)
+
+    # op9
+    index = quality.index_vectors()
+    sums = np.zeros_like(index)
+    token_lists = []
+    for _, t, _ in docs:
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        token_lists.append(quality.tokens(data, np.array([0, len(data)]))[0].tolist())
+    for words in token_lists:
+        for k, word in enumerate(words):
+            for other in words[max(0, k - quality.REACH) : k] + words[k + 1 : k + 1 + quality.REACH]:
+                sums[word] += index[other]
+    vectors = np.concatenate([sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9), index], 1)
+    assert np.allclose(quality.word_vectors(spark.read.parquet(f"{path}/documents.parquet")), vectors, atol=1e-6)
+    marks = {i: max(y for j, y, _ in labels if j == i and y is not None) for i, y, _ in labels if i is not None and y is not None}
+    pooled = lambda words: vectors[words].mean(0) if words else np.zeros(vectors.shape[1])
+    net = quality.train(spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet"), vectors.astype(np.float32), toxicity.crc_fold(5) != 0)
+    want = {}
+    for (i, _, _), words in zip(docs, token_lists, strict=True):
+        want.setdefault((-1 if i is None else i, crc(i, 5) == 0), []).append(float(net.score(pooled(words)[None])[0]))
+    got = {}
+    for r in digest_rows(quality.op9_quality(spark, path), "doc_id", "held_out", "score", "predicted"):
+        assert r[3] == int(r[2] >= 0.3)
+        got.setdefault(r[:2], []).append(r[2])
+    assert got.keys() == want.keys() and all(np.allclose(sorted(got[k]), sorted(want[k]), atol=1e-3) for k in want)
+    held = [i for i in marks if crc(i, 5) == 0]
+    assert sum((got[i, True][0] >= 0.5) == bool(marks[i]) for i in held) >= 0.9 * len(held)
 
+
+def test_language_network_gradients():
     net = langid.Network.start(["a", "b"], 1)
     for p in net.parameters():
         p += np.random.default_rng(0).normal(0, 0.05, p.shape).astype(np.float32)
@@ -383,7 +526,7 @@ def test_empty_tables(spark):
         exact_dedup.exact_groups(none), exact_dedup.drop_exact_duplicates(none), pii.digest(pii.find_pii(none)), secrets.digest(secrets.find_secrets(none)),
         near_join.near_duplicate_classes(none), near_join.drop_near_duplicates(none), repeats.remove_repeats(none), bpe.encode(none),
         decontaminate.find_overlaps(none, benchmark), decontaminate.drop_contaminated(none, benchmark),
-        toxicity.score_toxicity(none, toxicity.fit(toxicity.labelled(none, labels, "toxic", toxicity.crc_fold(4) != 2, 10))),
+        toxicity.score_toxicity(none, toxicity.fit_on(common.fit_rows(none, labels.selectExpr("doc_id as _id", "toxic as _y"), 10))),
         langid.identify(none, langid.train(none, toxicity.crc_fold(3) != 1)),
         quality.score_quality(none, vectors, quality.train(none, labels, vectors, toxicity.crc_fold(5) != 0)),
     ]
