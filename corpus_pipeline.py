@@ -6,7 +6,11 @@
     decontaminate   documents that overlap a benchmark item go
     bpe             what is left becomes token ids
 
-All stages but the last return rows of their input with its columns, whatever those are.
+All stages but the last return rows of their input with its columns, whatever those are. Null texts
+count as empty and stay but as copies of each other; null ids and ids that repeat are told apart by
+their texts, rows that repeat in full are one. Very long texts are read whole by every stage. An empty
+table gives an empty result; other columns are carried along and never looked at, but to decide
+between rows that agree in id and text.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from semindex.llm import bpe, decontaminate, exact_dedup, near_join, toxicity
-from semindex.llm.common import stored, table
+from semindex.llm.common import discard, stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -58,7 +62,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs, path = stored(stage(spark, docs, sf_dir), name)
+        if before:  # what the stage has read is needed no more
+            discard(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
