@@ -36,10 +36,10 @@ def entity_like(query: Column) -> Column:
 
 
 def intent_pattern(intent: str) -> str:
-    """One expression for an intent; a whole word has no word character beside it."""
-    rules = INTENTS[intent]
-    whole = "|".join(rules["word"])
-    return f"(^|[^\\p{{L}}\\p{{N}}_])({whole})($|[^\\p{{L}}\\p{{N}}_])|{'|'.join(rules['any'])}"
+    """One expression for an intent. Engines differ in what they take for a word boundary beside
+    letters of other scripts, so each boundary is spelt out."""
+    sides = (r"(^|[^\p{L}\p{N}_])", r"($|[^\p{L}\p{N}_])")
+    return "|".join(p.replace(r"\b", sides[0], 1).replace(r"\b", sides[1]) for p in INTENTS[intent])
 
 
 def intents(query: Column) -> Column:

@@ -19,9 +19,9 @@ def counts(chunks: DataFrame) -> DataFrame:
 
 
 def top(found: DataFrame, category: str, n: int = TOP) -> DataFrame:
-    order = Window.partitionBy("category").orderBy(F.desc("count"), "value")
-    ranked = found.filter(F.col("category") == category).withColumn("rank", F.row_number().over(order))
-    return ranked.filter(F.col("rank") <= n).select("value", "count", "rank")
+    """The n most frequent values, ranked: a heap in each task, then one of n rows from each."""
+    first = found.filter(F.col("category") == category).orderBy(F.desc("count"), "value").limit(n)
+    return first.select("value", "count", F.row_number().over(Window.orderBy(F.desc("count"), "value")).alias("rank"))
 
 
 def summary(chunks: DataFrame) -> DataFrame:
@@ -31,8 +31,11 @@ def summary(chunks: DataFrame) -> DataFrame:
         F.countDistinct("relative_path").alias("files_indexed"),
         F.max(F.size("embedding")).alias("embedding_dimension") if "embedding" in chunks.columns else F.lit(None).cast("int").alias("embedding_dimension"),
     )
-    order = Window.partitionBy("category").orderBy(F.desc("count"), "value")
-    ranked = counts(chunks).withColumn("rank", F.row_number().over(order)).filter((F.col("rank") <= TOP) | (F.col("category") == "chunk_types"))
+    every = counts(chunks)
+    # chunk types are as many as the rule tables name; of tags and folders the TOP are kept
+    ranked = every.filter("category = 'chunk_types'")
+    for category in ("top_tags", "top_folders"):
+        ranked = ranked.unionByName(every.filter(F.col("category") == category).orderBy(F.desc("count"), "value").limit(TOP))
     pairs = lambda c: F.map_from_entries(F.collect_list(F.when(F.col("category") == c, F.struct("value", "count"))))
     maps = ranked.agg(*[pairs(c).alias(c) for c in ("chunk_types", "top_tags", "top_folders")])
     return base.join(F.broadcast(maps))

@@ -11,10 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from semindex.operators.topk import _unit, top_k
+from semindex.operators.topk import _merge, _unit, in_blocks, top_k
 
 SAMPLE, ROUNDS, PROBES = 20_000, 12, 8
 
@@ -23,6 +23,11 @@ def cells_for(dimension: int) -> int:
     return min(100, max(10, dimension // 8))
 
 
+def probes_for(cells: int) -> int:
+    """Cells to search: a quarter of them, PROBES at least."""
+    return max(PROBES, cells // 4)
+
+
 def train(corpus: DataFrame, id_col: str, vector_col: str = "embedding", cells: int | None = None, seed: int = 5) -> np.ndarray:
     """(cells, dimension) unit centroids by spherical k-means."""
     rows = corpus.select(id_col, vector_col).orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE)
@@ -60,6 +65,44 @@ def search(assigned: DataFrame, centroids: np.ndarray, query: list[float], k: in
     return top_k(assigned.filter(F.col("cell").isin([int(c) for c in near])), query, k, id_col, vector_col)
 
 
+def search_batch(assigned: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, probes: int = PROBES, id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, id, score, rank): the k best rows of each query's ``probes`` nearest cells.
+    ``queries`` has query_id and query_vector; they are taken in blocks, as top_k_batch() does."""
+    kind = assigned.schema[id_col].dataType.simpleString()
+    rows = assigned.select(id_col, "cell", F.transform(vector_col, lambda x: x.cast("double")).alias("_v"))
+
+    def near(part: list):
+        matrix = _unit(np.array([r[1] for r in part], float))
+        probed = np.zeros((len(part), len(centroids)), bool)
+        np.put_along_axis(probed, np.argsort(-(matrix @ centroids.T), axis=1)[:, :probes], True, axis=1)
+        sent = assigned.sparkSession.sparkContext.broadcast(([r[0] for r in part], matrix, probed))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, asked, cells = sent.value
+            best: list[list] = [[] for _ in ids]
+            for batch in batches:
+                own, cell = np.array(batch.column(0)), np.asarray(batch.column(1))
+                values = np.asarray(batch.column(2).flatten()).reshape(batch.num_rows, -1)
+                for c in np.unique(cell):
+                    here, those = np.flatnonzero(cell == c), np.flatnonzero(cells[:, c])
+                    if len(those):
+                        merged = _merge([best[q] for q in those], own[here].tolist(), _unit(values[here]) @ asked[those].T, [ids[q] for q in those], k, False)
+                        for q, found in zip(those, merged, strict=True):
+                            best[q] = found
+            out = [(ids[n], i, s) for n, row in enumerate(best) for s, i in row]
+            if out:
+                q, i, s = zip(*out, strict=True)
+                yield pa.RecordBatch.from_pydict({"query_id": list(q), "id": list(i), "score": list(s)})
+
+        return rows.mapInArrow(run, f"query_id {kind}, id {kind}, score double")
+
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    found = in_blocks(queries, near, "query_id", "query_vector")
+    if found is None:
+        return assigned.sparkSession.createDataFrame([], f"query_id {kind}, id {kind}, score double, rank int")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def recall(found: Iterator, exact: Iterator) -> float:
     found, exact = set(found), set(exact)
     return len(found & exact) / len(exact) if exact else 1.0

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from semindex.sources.store import materialised
+
 ROOT = "."
 
 
@@ -28,8 +30,9 @@ def build(files: DataFrame, root_name: str, empty_dirs: DataFrame | None = None)
     A folder's hash is sha256 of its name and the sorted hashes of its children. One aggregation
     for each level, deepest first: as many rounds as the tree is deep, whatever it holds.
     ``empty_dirs`` (path) names folders without any file below them, which a file scan can't see.
+    Contents are read once, for the narrow nodes of the files; every level is computed once.
     """
-    leaves = file_nodes(files)
+    leaves = materialised(file_nodes(files))
     parts = F.split("path", "/")
     above = leaves.filter(F.col("parent") != ROOT).select(F.col("parent").alias("path"))
     if empty_dirs is not None:
@@ -49,6 +52,7 @@ def build(files: DataFrame, root_name: str, empty_dirs: DataFrame | None = None)
     for depth in range(deepest, 0, -1):
         here = folders.filter(F.col("depth") == depth).join(_sums(level), "path", "left")
         here = here.select("path", "parent", "name", "depth", _folder_hash(F.col("name")).alias("hash"), F.lit(False).alias("is_file"), F.coalesce("size", F.lit(0)).alias("size"))
+        here = materialised(here)
         done = done.unionByName(here)
         level = leaves.filter(F.col("depth") == depth).unionByName(here)
     root = level.filter(F.col("parent") == ROOT).agg(F.sort_array(F.collect_list("hash")).alias("hashes"), F.sum("size").cast("long").alias("size"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +60,6 @@ def top_k_batch(corpus: DataFrame, queries: DataFrame, k: int, id_col: str, vect
     spark = corpus.sparkSession
     kind = corpus.schema[id_col].dataType.simpleString()
     rows = corpus.select(id_col, F.transform(vector_col, lambda x: x.cast("double")).alias("_v"))
-    found, block = None, []
 
     def near(part: list) -> DataFrame:
         sent = spark.sparkContext.broadcast(([r[0] for r in part], _unit(np.array([r[1] for r in part], float))))
@@ -80,16 +80,23 @@ def top_k_batch(corpus: DataFrame, queries: DataFrame, k: int, id_col: str, vect
 
         return rows.mapInArrow(run, f"query_id {kind}, id {kind}, score double")
 
+    found = in_blocks(queries, near, query_id, query_vector)
+    if found is None:
+        return spark.createDataFrame([], f"query_id {kind}, id {kind}, score double, rank int")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def in_blocks(queries: DataFrame, near: Callable[[list], DataFrame], query_id: str, query_vector: str) -> DataFrame | None:
+    """The union of ``near`` of blocks of (id, vector); None without queries."""
+    found, block = [], []
     for row in queries.select(query_id, query_vector).toLocalIterator():  # block by block, never all
         block.append((row[0], row[1]))
         if len(block) == QUERY_BLOCK:
-            found, block = near(block) if found is None else found.unionByName(near(block)), []
-    if block or found is None:
-        if not block:
-            return spark.createDataFrame([], f"query_id {kind}, id {kind}, score double, rank int")
-        found = near(block) if found is None else found.unionByName(near(block))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+            found, block = [*found, near(block)], []
+    if block:
+        found.append(near(block))
+    return functools.reduce(DataFrame.unionByName, found) if found else None
 
 
 def _unit(m: np.ndarray) -> np.ndarray:

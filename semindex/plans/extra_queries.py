@@ -47,7 +47,8 @@ def markdown_sections(spark, sf_dir):
     return raw_pieces(files).filter("language = 'markdown'").select(doc.alias("doc_id"), "node_type", "start_line", "end_line", F.md5("content").alias("content_md5"))
 
 
-@query()
+@query("""WITH h AS (SELECT page_id, html, regexp_extract(html, '<html(.*</html>|.*)', 0, 's') AS c FROM pages), l AS (SELECT *, length(split_part(html, c, 1)) - length(replace(split_part(html, c, 1), chr(10), '')) + 1 AS first FROM h)
+SELECT 'p' || page_id || '.html' AS relative_path, 'element' AS node_type, 'html' AS name, first::INT AS start_line, (first + length(c) - length(replace(c, chr(10), '')))::INT AS end_line, md5(c) AS content_md5 FROM l""")
 def html_chunks(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("content"))
     return raw_pieces(pages).select("relative_path", "node_type", "name", "start_line", "end_line", F.md5("content").alias("content_md5"))
@@ -144,10 +145,14 @@ def search_serialisation(spark, sf_dir):
     return search_rows(rows).drop("snippet")
 
 
-@query()
+@query("""SELECT count(*) FILTER (vec_id % 50 = 0) AS n_queries, count(*) FILTER (vec_id % 50 = 0) * least(10, count(*)) AS n_exact, true AS recall_reached FROM embeddings""")
 def vector_topk_ivf(spark, sf_dir):
-    """Approximate top-k: cells over all vectors, the nearest of them searched."""
+    """Approximate top-k of every vector whose id is divisible by 50 among all vectors, held against
+    the exact one: is the recall 0.9 or more?"""
     corpus = table(spark, sf_dir, "embeddings")
     centroids = ivf.train(corpus, "vec_id")
-    probe = corpus.orderBy("vec_id").select("embedding").first()[0]
-    return ivf.search(ivf.assign(corpus, centroids), centroids, list(probe), 10, id_col="vec_id").select("vec_id", "label", F.round("score", 6).alias("score"))
+    asked = corpus.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    near = ivf.search_batch(ivf.assign(corpus, centroids), centroids, asked, 10, ivf.probes_for(len(centroids)), id_col="vec_id")
+    exact = topk.top_k_batch(corpus, asked, 10, "vec_id", "embedding")
+    both = exact.select("query_id", "id").join(near.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    return both.agg(F.countDistinct("query_id").alias("n_queries"), F.count(F.lit(1)).alias("n_exact"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("recall_reached"))

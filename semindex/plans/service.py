@@ -20,7 +20,7 @@ from semindex.functions import text as T
 from semindex.operators import changes, context, index_stats, merkle, mutate, snapshots, topk
 from semindex.operators.chunking.files import chunk_files
 from semindex.sources import files as sources
-from semindex.sources.store import VersionedTable
+from semindex.sources.store import VersionedTable, materialised
 
 
 @dataclass
@@ -68,31 +68,29 @@ class Project:
 
     def index_directory(self, patterns: list[str] | None = None, incremental: bool = True) -> IndexResult:
         began = time.time()
-        fresh = self.scan_nodes().persist()
-        try:
-            full = not incremental or not self.nodes.exists()
-            before = self.spark.createDataFrame([], schemas.NODE) if full else self.nodes.read()
-            found = changes.diff(merkle.file_hashes(before), merkle.file_hashes(fresh))
-            found = sources.supported(found, patterns).persist()
-            counts = changes.summary(found).first()
-            result = IndexResult(counts["added"], counts["removed"], counts["modified"])
-            if full:
-                rows = self._embedded(changes.to_reindex(found))
-                self.index.write(rows)
-                result.chunks_added = self.index.read().count()
-            elif counts["total_changed"]:
-                old = self.index.read()
-                kept = mutate.delete_files(old, changes.to_remove(found))
-                size = old.count()
-                result.chunks_removed = size - kept.count()
-                self.index.write(mutate.upsert(kept, self._embedded(changes.to_reindex(found))))
-                result.chunks_added = self.index.read().count() - (size - result.chunks_removed)
-            self.nodes.write(fresh)
-            self._snapshot(fresh, result, not full)
-            result.time_taken = time.time() - began
-            return result
-        finally:
-            fresh.unpersist()
+        # hashed once: what is compared now is what the snapshot will hold, whatever is lost meanwhile
+        fresh = materialised(self.scan_nodes())
+        full = not incremental or not self.nodes.exists()
+        before = self.spark.createDataFrame([], schemas.NODE) if full else self.nodes.read()
+        found = changes.diff(merkle.file_hashes(before), merkle.file_hashes(fresh))
+        found = materialised(sources.supported(found, patterns))
+        counts = changes.summary(found).first()
+        result = IndexResult(counts["added"], counts["removed"], counts["modified"])
+        if full:
+            rows = self._embedded(changes.to_reindex(found))
+            self.index.write(rows)
+            result.chunks_added = self.index.read().count()
+        elif counts["total_changed"]:
+            old = self.index.read()
+            kept = mutate.delete_files(old, changes.to_remove(found))
+            size = old.count()
+            result.chunks_removed = size - kept.count()
+            self.index.write(mutate.upsert(kept, materialised(self._embedded(changes.to_reindex(found))), order="end_line"))
+            result.chunks_added = self.index.read().count() - (size - result.chunks_removed)
+        self.nodes.write(fresh)
+        self._snapshot(fresh, result, not full)
+        result.time_taken = time.time() - began
+        return result
 
     def _snapshot(self, nodes: DataFrame, result: IndexResult, incremental: bool) -> None:
         facts = merkle.stats(nodes).first()
@@ -112,9 +110,11 @@ class Project:
         return self.index_directory() if self.needs_reindex(max_age_minutes) else IndexResult()
 
     def last_snapshot(self) -> DataFrame:
-        """The newest snapshot's facts with its age in seconds; no row without a snapshot."""
+        """The newest snapshot's facts with its age in seconds and the number of chunks now in the
+        index; no row without a snapshot."""
         last = snapshots.newest(self.snapshots.read(), 1).drop("rank")
-        return last.withColumn("age_seconds", snapshots.age_seconds(F.col("snapshot_ts"), F.current_timestamp()))
+        now = self.index.read().agg(F.count(F.lit(1)).alias("current_chunks"))
+        return last.withColumn("age_seconds", snapshots.age_seconds(F.col("snapshot_ts"), F.current_timestamp())).join(F.broadcast(now))
 
     def export_snapshot(self) -> dict | None:
         """The newest snapshot and its tree as one nested dictionary, for a file outside Spark."""

@@ -17,14 +17,16 @@ def _root(root: str) -> str:
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """(path relative to ``root``, length, modified, content) of all files that aren't ignored.
 
-    Columns are lazy: a plan that doesn't use ``content`` doesn't read it. The root's own name is
-    never matched against the ignore list.
+    Ignored names are pruned from the file listing, before anything is opened: the filter is on the
+    file's metadata alone. Columns are lazy: a plan that doesn't use ``content`` doesn't read it. The
+    root's own name is never matched against the ignore list.
     """
     base = unquote(urlparse(_root(root)).path).rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_root(root))
-    local = F.regexp_replace(F.col("path"), r"^[a-z0-9+.-]+:(//[^/]*)?", "")
-    relative = F.substr(local, F.lit(len(base) + 2))
-    return files.select(relative.alias("path"), "length", F.col("modificationTime").alias("modified"), "content").filter(~rules.is_ignored(F.col("path")))
+    plain = lambda path: F.regexp_replace(path, r"^[a-z0-9+.-]+:(//[^/]*)?", "")
+    below = F.slice(F.split(plain(F.col("_metadata.file_path")), "/"), base.count("/") + 2, 1 << 20)
+    kept = files.filter(~F.exists(below, rules.is_ignored_part))
+    return kept.select(F.substr(plain(F.col("path")), F.lit(len(base) + 2)).alias("path"), "length", F.col("modificationTime").alias("modified"), "content")
 
 
 def empty_directories(spark: SparkSession, root: str) -> DataFrame:

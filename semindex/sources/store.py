@@ -7,6 +7,7 @@ the old one. Parquet has no MERGE; an upsert is a new version.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,19 @@ POINTER = "_CURRENT"
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder that driver and executors share: below spark.checkpoint.dir, or, only where
-    that is unset (tests, local mode), below a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="semindex-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    that is unset in local mode (tests), below a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(base or tempfile.mkdtemp(prefix='semindex-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """``df``, computed once and read from the shared folder from now on; survives lost executors."""
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or shared_folder(spark, "checkpoints"))
+    return df.checkpoint(eager=True)
 
 
 class VersionedTable:

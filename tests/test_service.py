@@ -4,7 +4,7 @@ import time
 import pytest
 
 from semindex import schemas
-from semindex.operators import changes, merkle, topk
+from semindex.operators import changes, merkle, mutate, topk
 from semindex.plans.service import Project, Service
 from semindex.sources import files as sources
 from semindex.sources.store import VersionedTable
@@ -188,3 +188,30 @@ def test_command_line(spark, root, tmp_path, capsys):
     project = Project(spark, str(tmp_path / "cli"), str(root))
     exported = project.export_snapshot()
     assert exported["dag"]["file_count"] == 3 and project.last_snapshot().first()["age_seconds"] >= 0
+
+
+def test_scan_prunes_before_reading(spark, tmp_path):
+    """Ignored names leave the listing: their files are never opened."""
+    for name in ("a.py", "sub dir/b+c.md", ".git/objects/x", "node_modules/m/index.js", "src/deep/__pycache__/y.pyc", "src/z.pyc", "src/ok.py", "src/ünï%20code.txt"):
+        path = tmp_path / "build" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(name)
+    found = sources.scan(spark, f"{tmp_path}/build")
+    assert sorted(r.path for r in found.select("path", "content").collect()) == sorted(["a.py", "sub dir/b+c.md", "src/ok.py", "src/ünï%20code.txt"])
+    plan = found._jdf.queryExecution().executedPlan()
+    found._jdf.queryExecution().toRdd().count()
+    todo, read = [plan], None
+    while todo:
+        node = todo.pop()
+        if node.metrics().contains("numFiles"):
+            read = node.metrics().apply("numFiles").value()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert read == 4
+
+
+def test_upsert_takes_one_row_of_a_repeated_key(spark):
+    old = spark.createDataFrame([("a", 1, "old"), ("b", 1, "old")], "chunk_id string, end_line int, content string")
+    new = spark.createDataFrame([("b", 2, "x"), ("b", 3, "y"), ("c", 1, "z"), ("c", 1, "z")], old.schema)
+    for parts in (1, 4):
+        made = mutate.upsert(old, new.repartition(parts), order="end_line")
+        assert sorted(tuple(r) for r in made.collect()) == [("a", 1, "old"), ("b", 3, "y"), ("c", 1, "z")]
