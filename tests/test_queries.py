@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from semindex.plans import extra_queries, queries  # noqa: F401
+from semindex.plans import extra_queries, queries, source_queries  # noqa: F401
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables here")
