@@ -46,7 +46,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 #: Smaller blocks than the operator's own take less memory and more disk, which is plentiful here.
-BLOCK_CHARS = 10_000_000
+BLOCK_CHARS = 6_000_000
 
 
 STAGES: list[tuple[str, Stage]] = [
