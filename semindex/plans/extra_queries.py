@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from semindex.functions import embedding, rules
+from semindex.functions import embedding, ranking, rules
+from semindex.functions import text as T
 from semindex.operators import context, ivf, merkle, mutate, topk
 from semindex.operators.chunking.files import raw_pieces
 from semindex.plans.queries import query, table
@@ -156,3 +157,51 @@ def vector_topk_ivf(spark, sf_dir):
     exact = topk.top_k_batch(corpus, asked, 10, "vec_id", "embedding")
     both = exact.select("query_id", "id").join(near.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
     return both.agg(F.countDistinct("query_id").alias("n_queries"), F.count(F.lit(1)).alias("n_exact"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("recall_reached"))
+
+
+_KINDS = ("class", "function", "method", "module", "section")
+#: Queries for a class, for a name, and a request with two intents.
+_ASKED = {"of_class": "class handler", "of_name": "UserToken", "of_request": "how does the database connection work"}
+
+
+@query("""WITH p AS (SELECT p_partkey, ['class', 'function', 'method', 'module', 'section'][(p_size % 5 + 1)::INT] AS kind, p_size % 3 = 0 AS tagged, p_size % 2 = 0 AS told, CASE WHEN p_size % 7 = 0 THEN 0.98 ELSE 1.0 END::DOUBLE AS long FROM part),
+f(kind, c, n, r) AS (VALUES ('class', 1.3::DOUBLE, 1.15::DOUBLE, 1.05::DOUBLE), ('function', 1.05, 1.1, 1.1), ('method', 1.05, 1.1, 1.1), ('module', 0.9, 0.92, 0.95), ('section', 1.0, 1.0, 1.0))
+SELECT p_partkey, kind, round(c * long * CASE WHEN tagged THEN 1.1 ELSE 1 END::DOUBLE * d, 9) AS of_class, round(n * long * d, 9) AS of_name,
+  round(r * long * CASE WHEN tagged THEN 1.2 ELSE 1 END::DOUBLE * CASE WHEN told THEN 1.05 ELSE 1 END::DOUBLE, 9) AS of_request
+FROM (SELECT *, CASE WHEN NOT told THEN 1.0 WHEN kind = 'module' THEN 1.02 ELSE 1.05 END::DOUBLE AS d FROM p JOIN f USING (kind))""")
+def rank_branches(spark, sf_dir):
+    """Type, tag, docstring and length factors for every kind of query."""
+    kind = F.get(F.array(*map(F.lit, _KINDS)), (F.col("p_size") % 5).cast("int"))
+    tags = F.when(F.col("p_size") % 3 == 0, F.array(F.lit("database"), F.lit("function_search"))).otherwise(F.array().cast("array<string>"))
+    told = F.when(F.col("p_size") % 2 == 0, "told")
+    preview = F.when(F.col("p_size") % 7 == 0, F.repeat(F.lit("x"), F.lit(1001))).otherwise(F.repeat(F.lit("x"), F.lit(1000)))
+    scores = [F.round(ranking.rank_score(F.lit(q), F.lit(1.0), F.col("kind"), F.lit(""), F.lit(""), F.col("tags"), F.col("told"), F.col("preview")), 9).alias(n) for n, q in _ASKED.items()]
+    rows = table(spark, sf_dir, "part").select("p_partkey", kind.alias("kind"), tags.alias("tags"), told.alias("told"), preview.alias("preview"))
+    return rows.select("p_partkey", "kind", *scores)
+
+
+@query("SELECT p_partkey, 256 AS dimension, 1.0::DOUBLE AS norm, true AS same_again FROM part")
+def embedding_vectors(spark, sf_dir):
+    """Names embedded in batches by a model that is looked up by its name: unit vectors, and the same
+    for queries and documents, as the default model encodes both alike."""
+    model = embedding.resolve("local/hashing-256")
+    rows = table(spark, sf_dir, "part").select("p_partkey", embedding.embed(F.col("p_name"), model).alias("v"), embedding.embed(F.col("p_name"), model, queries=True).alias("q"))
+    norm = F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), 4)
+    return rows.select("p_partkey", F.size("v").alias("dimension"), norm.alias("norm"), (F.col("v") == F.col("q")).alias("same_again"))
+
+
+@query("SELECT conv_id, turn, md5(trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS query_md5 FROM conversations")
+def query_trim(spark, sf_dir):
+    asked = F.concat(F.lit(" \t\n\x0b "), F.coalesce("text", F.lit("")), F.lit("\r\x0c \n"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(T.trim_query(asked)).alias("query_md5"))
+
+
+@query("""SELECT p_type || '/' || p_partkey AS file_path, p_size || '-' || (p_size + 2) AS lines, 'function' AS chunk_type, p_name AS name, round(p_size / 64.0, 3)::DOUBLE AS similarity_score, p_brand AS content_preview, 'a,' || p_size AS tags FROM part""")
+def similar_serialisation(spark, sf_dir):
+    from semindex.plans.service import similar_rows
+
+    rows = table(spark, sf_dir, "part").select(
+        F.concat_ws("/", "p_type", F.col("p_partkey").cast("string")).alias("relative_path"), F.col("p_size").alias("start_line"), (F.col("p_size") + 2).alias("end_line"), F.lit("function").alias("chunk_type"),
+        F.col("p_name").alias("name"), (F.col("p_size") / 64.0).alias("score"), F.col("p_brand").alias("content_preview"), F.array(F.lit("a"), F.col("p_size").cast("string")).alias("tags"),
+    )
+    return similar_rows(rows).withColumn("tags", F.array_join("tags", ","))

@@ -233,8 +233,8 @@ def service_search(spark, sf_dir):
     return found.unionByName(like)
 
 
-@query(f"""WITH {_HELD} SELECT count(*) AS total_chunks, count(DISTINCT path) AS files_indexed, count(*) AS current_chunks, count(DISTINCT path) + 1 AS snapshot_files, 2 AS snapshots, true AS incremental, false AS stale_now, true AS stale_when_old,
-  count(DISTINCT path) + 1 AS exported_files, 1 AS projects, count(*) AS project_chunks, 0 AS cleared_chunks, 0 AS cleared_projects FROM c""")
+@query(f"""WITH {_HELD} SELECT count(*) AS total_chunks, count(DISTINCT path) AS files_indexed, count(*) AS current_chunks, count(DISTINCT path) + 1 AS snapshot_files, 2::BIGINT AS snapshots, true AS incremental, false AS stale_now, true AS stale_when_old,
+  count(DISTINCT path) + 1 AS exported_files, 1::BIGINT AS projects, count(*) AS project_chunks, 0::BIGINT AS cleared_chunks, 0::BIGINT AS cleared_projects FROM c""")
 def service_status(spark, sf_dir):
     """Statistics, snapshots and the list of projects after two runs, and what clearing leaves."""
     project = _Files(spark, sf_dir)
