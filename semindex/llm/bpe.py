@@ -1,39 +1,45 @@
 """BPE encoding and decoding (operator 8) by a table of distinct words.
 
 1. Each task splits its documents at ASCII white space and numbers the distinct words of a block
-   of documents by falling count. A block leaves as one row of positions (which word stands where,
-   compressed) and, for each word partition, one row with the block's words of that partition.
-2. All occurrences of a word meet in its word partition, where the tokenizer encodes it once; ids
-   become pieces through the id-to-piece table. Each block's row of words returns as rows of ids.
-3. Positions and ids of a block meet again, and the ids are joined back by position.
+   of documents. A block gives one row for each of its words (block, number, word) and one row of
+   positions (which number stands where, compressed).
+2. The distinct words of all blocks are a table; the tokenizer encodes each of them once.
+3. The words of the blocks get their ids by a join with that table on the word, and return to their
+   block, whose positions put the ids in place. Decoding looks ids up in the id-to-piece table, once
+   for each word of a block; ``decode()`` is the same as a join of rows of ids.
 
 The tokenizer is read from a public vocabulary file, given by path; the driver reads it and sends
 its text. Splitting at ASCII white space is exact for tokenizers that never let a token span white
 space: normalisation, special tokens and pre-tokens all stay within such a word.
 
+The documents are split three times (for the table, for the words, for the positions), so they must
+come in the same order each time: a frame with an exchange in its plan is checkpointed first. Words
+that don't fit their positions are an error, never a wrong result.
+
 Null texts count as empty and have no tokens. Ids may repeat or be null: each row gives one row.
-Empty tables give empty results; other columns are not read. A frequent word is one entry in each
-block's row, however often it stands there, so no key is hot; a very long text makes a block alone.
+Empty tables give empty results; other columns are not read. A frequent word is one row for each
+block, however often it stands there, so no key is hot; a very long text makes a block alone.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semindex.llm.common import scan_parallelism, table, tidied, tidy
+from semindex.llm.common import cut, scan_parallelism, table, tidied, tidy
 
 BLOCK_CHARS = 24_000_000
 VOCABULARY = "word_bpe_49k.json"
+BLOCK_BITS = 20  # a block's number is its task and, in so many bits, its place there
+LAST = 2**31 - 1  # the number of a block's row of positions, after those of its words
+
 
 def default_path() -> str:
     import public_tokenizers
@@ -47,10 +53,6 @@ def _pack(values: np.ndarray) -> bytes:
     return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
 
 
-def _squeeze(data: bytes) -> bytes:
-    return pa.Codec("zstd", compression_level=9).compress(data, asbytes=True)
-
-
 def _unpack(data: bytes, n: int, kind) -> np.ndarray:
     size = np.dtype(kind).itemsize
     raw = pa.decompress(data, decompressed_size=n * size, codec="zstd", asbytes=True)
@@ -58,74 +60,58 @@ def _unpack(data: bytes, n: int, kind) -> np.ndarray:
 
 
 class Block:
-    """Documents whose words are numbered together."""
+    """Documents whose distinct words are numbered together, in the order in which they come."""
 
-    def __init__(self) -> None:
+    def __init__(self, number: int) -> None:
+        self.number = number
         self.docs, self.null, self.counts, self.at, self.chars = array("q"), bytearray(), array("I"), array("I"), 0
         self.words: defaultdict[bytes, int] = defaultdict()
         self.words.default_factory = self.words.__len__
 
-    def add(self, doc_id: int | None, text: str | None) -> None:
+    def add(self, doc_id: int | None, text: str | None, places: bool) -> None:
         words = (text or "").encode("utf-8", "surrogatepass").split()
+        self.chars += len(text or "") + 16
+        if not places:
+            self.words.update(dict.fromkeys(words, 0))  # known words keep their place in the order
+            return
         self.docs.append(0 if doc_id is None else doc_id)
         self.null.append(doc_id is None)
         self.counts.append(len(words))
         self.at.extend(map(self.words.__getitem__, words))
-        self.chars += len(text or "") + 16
 
-    def rows(self, block: str, home: int, parts: int) -> Iterator[tuple]:
-        """(dest, home, block, kind, n, a, b, c, d, e): kind 1 is words, kind 0 positions."""
-        at = np.frombuffer(self.at, np.uint32)
-        words = list(self.words)
-        self.words.clear()
-        count = np.bincount(at, minlength=len(words)) if len(words) else np.zeros(0, int)
-        order = np.argsort(-count, kind="stable")
-        rank = np.empty(len(words), np.uint32)
-        rank[order] = np.arange(len(words), dtype=np.uint32)
-        part = np.fromiter((zlib.crc32(words[i]) % parts for i in order), np.uint32, len(words))
-        yield home % parts, home, block, 0, len(words), np.frombuffer(self.docs, np.int64).tobytes() + bytes(self.null), _pack(np.frombuffer(self.counts, np.uint32)), _pack(rank[at]) if len(at) else b"", b"", _pack(part) if len(part) else b""
-        by_part = np.argsort(part, kind="stable")
-        bounds = np.searchsorted(part[by_part], np.arange(parts + 1))
-        for p in np.flatnonzero(np.diff(bounds)):
-            mine = [words[order[i]] for i in by_part[bounds[p] : bounds[p + 1]]]
-            yield int(p), home, block, 1, len(mine), _squeeze(b" ".join(mine)), str(sum(map(len, mine)) + len(mine) - 1).encode(), str(p).encode(), b"", b""
-
-
-MOVED = "dest int, home int, block string, kind int, n int, a binary, b binary, c binary, d binary, e binary"
-_NAMES = [x.split()[0] for x in MOVED.split(", ")]
-_TYPES = [pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
-
-
-class Words:
-    """Encodes the words of a partition, each once, and knows their ids: as much memory as the
-    partition has distinct words, of which there are fewer the more partitions there are."""
-
-    def __init__(self, vocabulary: str) -> None:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.kind = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() <= 65536 else np.uint32)
-        self.known: dict[bytes, bytes] = {}
-
-    def ids(self, words: list[bytes]) -> tuple[np.ndarray, bytes]:
-        """(number of ids of each word, all ids as bytes of ``kind``)."""
-        known = self.known
-        new = [w for w in words if w not in known]
-        for i in range(0, len(new), 2_000):
-            some = new[i : i + 2_000]
-            for w, e in zip(some, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, self.kind).tobytes()
-        found = [known[w] for w in words]
-        return np.fromiter(map(len, found), np.uint32, len(found)) // np.uint32(self.kind.itemsize), b"".join(found)
+    def positions(self) -> bytes:
+        counts, at = (_pack(np.frombuffer(x, np.uint32)) if len(x) else b"" for x in (self.counts, self.at))
+        sizes = np.array([len(self.docs), len(self.words), len(self.at), len(counts)], np.int64)
+        return b"".join((sizes.tobytes(), self.docs.tobytes(), bytes(self.null), counts, at))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], block_chars: int, places: bool) -> Iterator[Block]:
+    block = None
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            block = block or Block(batch.column(2)[0].as_py() << BLOCK_BITS)
+            block.add(doc_id, text.as_py(), places)
+            if block.chars >= block_chars:
+                yield block
+                block = Block(block.number + 1)
+    if block and block.chars:
+        yield block
+
+
+def _rows(block: int, numbers: np.ndarray, data: list[bytes], name: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(data), block)), pa.array(numbers.astype(np.int32)), pa.array(data, pa.binary())], names=["block", "number", name])
+
+
+def _tokenizer(vocabulary: str):
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(vocabulary)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
 
 
 def pieces(vocabulary: str) -> list[str]:
@@ -150,83 +136,69 @@ def encode(
     wanted = [c for c in COLUMNS if c in columns]
     with open(path or default_path(), encoding="utf-8") as file:  # a small public file beside the library, on the driver
         told = file.read()
+    found = pieces(told)
     context = docs.sparkSession.sparkContext
-    vocabulary, id_pieces = context.broadcast(told), context.broadcast(pieces(told))
+    vocabulary, id_pieces = context.broadcast(told), context.broadcast(found)
+    kind = np.dtype(np.uint16 if len(found) <= 65536 else np.uint32)
     parts = max(17, scan_parallelism(docs) | 1)
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
-        block, n = Block(), 0
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches, block_chars, False):
+            words = list(block.words)
+            for i in range(0, len(words), 50_000):
+                some = words[i : i + 50_000]
+                yield _rows(block.number, np.arange(i, i + len(some)), some, "word")
 
-        def out() -> Iterator[pa.RecordBatch]:
-            name, rows = f"{task}-{n}", []
-            for row in block.rows(name, task * 4 + n, parts):
-                rows.append(row)
-                if len(rows) == 64:
-                    yield _batch(rows)
-                    rows = []
-            if rows:
-                yield _batch(rows)
-
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                block.add(doc_id, text.as_py())
-                if block.chars >= block_chars:
-                    yield from out()
-                    block, n = Block(), n + 1
-        if block.docs:
-            yield from out()
+    def positions_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches, block_chars, True):
+            yield _rows(block.number, np.array([LAST]), [block.positions()], "data")
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = None
+        tokenizer = None
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[3] == 1:
-                    words = words or Words(vocabulary.value)
-                    mine = pa.decompress(row[5], decompressed_size=int(row[6]), codec="zstd", asbytes=True).split(b" ")
-                    lengths, ids = words.ids(mine)
-                    row = (*row[:5], _pack(lengths), _squeeze(ids) if ids else b"", row[7], str(int(lengths.sum())).encode(), str(words.kind.itemsize).encode())
-                yield _batch([row])
+            tokenizer = tokenizer or _tokenizer(vocabulary.value)
+            words, ids = batch.column(0).to_pylist(), []
+            for i in range(0, len(words), 2_000):
+                some = [w.decode("utf-8", "replace") for w in words[i : i + 2_000]]
+                ids += [np.array(e.ids, kind).tobytes() for e in tokenizer.encode_batch(some, add_special_tokens=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["word", "data"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_ = None
-        held: dict[int, tuple[list[str], list[str], np.ndarray, np.ndarray]] = {}
-        current = None
+        held: list[pa.Array] = []
+        seen = 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[2] != current:
-                    held, current = {}, row[2]
-                if row[3] == 1:
-                    if table_ is None:
-                        table_ = np.array(id_pieces.value, object), np.array([str(i) for i in range(len(id_pieces.value))], object)
-                    lengths, total = _unpack(row[5], row[4], np.uint32), int(row[8])
-                    kind = np.dtype(f"u{int(row[9])}")
-                    ids = np.frombuffer(pa.decompress(row[6], decompressed_size=total * kind.itemsize, codec="zstd", asbytes=True), kind) if total else np.zeros(0, kind)
-                    ends = np.cumsum(lengths)
-                    piece, number = table_[0][ids].tolist(), table_[1][ids].tolist()
-                    spans = list(zip((ends - lengths).tolist(), ends.tolist(), strict=True))
-                    held[int(row[7])] = ([" ".join(number[a:b]) for a, b in spans], [" ".join(piece[a:b]) for a, b in spans], lengths, ids)
-                    continue
-                n_docs = len(row[5]) // 9
-                part = _unpack(row[9], row[4], np.uint32) if row[4] else np.zeros(0, np.uint32)
-                if sum(len(h[2]) for h in held.values()) != row[4]:
-                    raise RuntimeError(f"block {current}: not all words came back")
-                number, piece, lengths, first = [""] * row[4], [""] * row[4], np.zeros(row[4], np.int64), np.zeros(row[4], np.int64)
-                every, at_id = [np.zeros(0, np.int32)], 0
-                for p, (a, b, size, ids) in held.items():
-                    mine = np.flatnonzero(part == p)
-                    for i, k in enumerate(mine.tolist()):
-                        number[k], piece[k] = a[i], b[i]
-                    lengths[mine] = size
-                    first[mine] = np.cumsum(size) - size + at_id
-                    every.append(ids.astype(np.int32))
-                    at_id += len(ids)
-                held = {}
-                counts = _unpack(row[6], n_docs, np.uint32).astype(np.int64)
-                at = _unpack(row[7], int(counts.sum()), np.uint32) if counts.sum() else np.zeros(0, np.uint32)
-                yield from results(np.frombuffer(row[5][: 8 * n_docs], np.int64), np.frombuffer(row[5][8 * n_docs :], np.uint8), counts, at, number, piece, lengths, first, np.concatenate(every))
-                del number, piece, lengths, first, every, at, part
-                tidy()
+            numbers, data = batch.column(1).to_numpy(), batch.column(2)
+            start = 0
+            for end in [*np.flatnonzero(numbers == LAST).tolist(), len(numbers)]:
+                if not np.array_equal(numbers[start:end], np.arange(seen, seen + end - start)):
+                    raise RuntimeError("words of a block are missing")
+                held.append(data.slice(start, end - start))
+                seen += end - start
+                if end < len(numbers):
+                    yield from joined(pa.concat_arrays(held), data[end].as_buffer())
+                    held, seen = [], 0
+                    tidy()
+                start = end + 1
+        if seen:
+            raise RuntimeError("the positions of a block are missing")
+
+    def joined(words: pa.Array, positions: pa.Buffer) -> Iterator[pa.RecordBatch]:
+        n_docs, n_words, n_at, size = np.frombuffer(positions[:32], np.int64).tolist()
+        if n_words != len(words):
+            raise RuntimeError("the words of a block don't fit its positions")
+        doc_ids, null = np.frombuffer(positions[32 : 32 + 8 * n_docs], np.int64), np.frombuffer(positions[32 + 8 * n_docs : 32 + 9 * n_docs], np.uint8)
+        counts = _unpack(positions[32 + 9 * n_docs : 32 + 9 * n_docs + size], n_docs, np.uint32).astype(np.int64)
+        at = _unpack(positions[32 + 9 * n_docs + size :], n_at, np.uint32) if n_at else np.zeros(0, np.uint32)
+        bounds = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + n_words + 1].astype(np.int64) if n_words else np.zeros(1, np.int64)
+        every = np.frombuffer(words.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view(kind) if bounds[-1] > bounds[0] else np.zeros(0, kind)
+        bounds = (bounds - bounds[0]) // kind.itemsize
+        table_ = np.array(id_pieces.value, object)
+        piece, number = table_[every].tolist(), every.astype(str).tolist() if "ids_sha256" in wanted else []
+        spans = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+        numbers = [" ".join(number[a:b]) for a, b in spans]
+        texts = [" ".join(piece[a:b]) for a, b in spans]
+        del piece, number, spans
+        yield from results(doc_ids, null, counts, at, numbers, texts, np.diff(bounds), bounds[:-1], every.astype(np.int32))
 
     def results(doc_ids, null, counts, at, number, piece, lengths, first, every) -> Iterator[pa.RecordBatch]:
         ends = np.cumsum(counts)
@@ -251,9 +223,16 @@ def encode(
             out["decoded"] = pa.array(texts, pa.string()) if "decoded" in wanted else None
             yield pa.RecordBatch.from_arrays([out[c] for c in wanted], names=wanted)
 
-    moved = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(tidied(split), MOVED)
-    encoded = moved.repartitionById(parts, F.col("dest")).mapInArrow(tidied(encode_words), MOVED)
-    met = encoded.repartitionById(parts, F.pmod(F.col("home"), F.lit(parts)).cast("int")).sortWithinPartitions("block", F.desc("kind"))
+    read = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
+    if "Exchange" in read._jdf.queryExecution().executedPlan().toString():
+        read = cut(read)
+    read = read.withColumn("part", F.spark_partition_id())  # of the frame itself; a task's own number differs in a union
+    words = read.mapInArrow(tidied(words_of), "block long, number int, word binary")
+    distinct = words.select("word").repartition(parts, "word").distinct().mapInArrow(tidied(encode_words), "word binary, data binary")
+    encoded = words.join(distinct.hint("merge"), "word").select("block", "number", "data")
+    rows = encoded.unionByName(read.mapInArrow(tidied(positions_of), "block long, number int, data binary"))
+    home = F.shiftright("block", BLOCK_BITS) * 4 + F.col("block").bitwiseAND((1 << BLOCK_BITS) - 1)  # deals blocks out evenly
+    met = rows.repartitionById(parts, F.pmod(home, F.lit(parts)).cast("int")).sortWithinPartitions("block", "number")
     return met.mapInArrow(tidied(join), ", ".join(f"{c} {COLUMNS[c]}" for c in wanted))
 
 
