@@ -29,16 +29,18 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semindex.llm.common import cut, scan_parallelism, table, tidied, tidy
 
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 32_000_000
 VOCABULARY = "word_bpe_49k.json"
-BLOCK_BITS = 20  # a block's number is its task and, in so many bits, its place there
-LAST = 2**31 - 1  # the number of a block's row of positions, after those of its words
+#: A key is the partition, in so many bits the block there, and in so many the word of the block.
+BLOCK_BITS, WORD_BITS = 11, 28
+LAST = 2**WORD_BITS - 1  # the word number of a block's row of positions, after those of its words
 
 
 def default_path() -> str:
@@ -99,7 +101,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_chars: int, places: bool) -
 
 
 def _rows(block: int, numbers: np.ndarray, data: list[bytes], name: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(data), block)), pa.array(numbers.astype(np.int32)), pa.array(data, pa.binary())], names=["block", "number", name])
+    return pa.RecordBatch.from_arrays([pa.array((block << WORD_BITS) + numbers.astype(np.int64)), pa.array(data, pa.binary())], names=["key", name])
 
 
 def _tokenizer(vocabulary: str):
@@ -153,21 +155,22 @@ def encode(
         for block in _blocks(batches, block_chars, True):
             yield _rows(block.number, np.array([LAST]), [block.positions()], "data")
 
-    def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = None
-        for batch in batches:
-            tokenizer = tokenizer or _tokenizer(vocabulary.value)
-            words, ids = batch.column(0).to_pylist(), []
+    @F.pandas_udf("binary")
+    def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tokenizer = _tokenizer(vocabulary.value)
+        for words in batches:
+            ids = []
             for i in range(0, len(words), 2_000):
-                some = [w.decode("utf-8", "replace") for w in words[i : i + 2_000]]
+                some = [w.decode("utf-8", "replace") for w in words.iloc[i : i + 2_000]]
                 ids += [np.array(e.ids, kind).tobytes() for e in tokenizer.encode_batch(some, add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["word", "data"])
+            yield pd.Series(ids, dtype=object)
+        tidy()
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Array] = []
         seen = 0
         for batch in batches:
-            numbers, data = batch.column(1).to_numpy(), batch.column(2)
+            numbers, data = batch.column(0).to_numpy() & LAST, batch.column(1)
             start = 0
             for end in [*np.flatnonzero(numbers == LAST).tolist(), len(numbers)]:
                 if not np.array_equal(numbers[start:end], np.arange(seen, seen + end - start)):
@@ -227,12 +230,13 @@ def encode(
     if "Exchange" in read._jdf.queryExecution().executedPlan().toString():
         read = cut(read)
     read = read.withColumn("part", F.spark_partition_id())  # of the frame itself; a task's own number differs in a union
-    words = read.mapInArrow(tidied(words_of), "block long, number int, word binary")
-    distinct = words.select("word").repartition(parts, "word").distinct().mapInArrow(tidied(encode_words), "word binary, data binary")
-    encoded = words.join(distinct.hint("merge"), "word").select("block", "number", "data")
-    rows = encoded.unionByName(read.mapInArrow(tidied(positions_of), "block long, number int, data binary"))
-    home = F.shiftright("block", BLOCK_BITS) * 4 + F.col("block").bitwiseAND((1 << BLOCK_BITS) - 1)  # deals blocks out evenly
-    met = rows.repartitionById(parts, F.pmod(home, F.lit(parts)).cast("int")).sortWithinPartitions("block", "number")
+    words = read.mapInArrow(tidied(words_of), "key long, word binary").repartition(parts, "word")
+    # asking for the same columns as the join does lets both read one exchange
+    distinct = words.groupBy("word").agg(F.min("key").alias("_k")).filter("_k >= 0").select("word", ids_of("word").alias("data"))
+    encoded = words.join(distinct.hint("merge"), "word").select("key", "data")
+    rows = encoded.unionByName(read.mapInArrow(tidied(positions_of), "key long, data binary"))
+    home = F.shiftright("key", WORD_BITS + BLOCK_BITS) * 4 + F.shiftright("key", WORD_BITS).bitwiseAND((1 << BLOCK_BITS) - 1)  # deals blocks out evenly
+    met = rows.repartitionById(parts, F.pmod(home, F.lit(parts)).cast("int")).sortWithinPartitions("key")
     return met.mapInArrow(tidied(join), ", ".join(f"{c} {COLUMNS[c]}" for c in wanted))
 
 
