@@ -69,7 +69,7 @@ def search_batch(assigned: DataFrame, centroids: np.ndarray, queries: DataFrame,
     """(query_id, id, score, rank): the k best rows of each query's ``probes`` nearest cells.
     ``queries`` has query_id and query_vector; they are taken in blocks, as top_k_batch() does."""
     kind = assigned.schema[id_col].dataType.simpleString()
-    rows = assigned.select(id_col, "cell", F.transform(vector_col, lambda x: x.cast("double")).alias("_v"))
+    rows = assigned.select(id_col, "cell", vector_col)
 
     def near(part: list):
         matrix = _unit(np.array([r[1] for r in part], float))
@@ -82,7 +82,7 @@ def search_batch(assigned: DataFrame, centroids: np.ndarray, queries: DataFrame,
             best: list[list] = [[] for _ in ids]
             for batch in batches:
                 own, cell = np.array(batch.column(0)), np.asarray(batch.column(1))
-                values = np.asarray(batch.column(2).flatten()).reshape(batch.num_rows, -1)
+                values = np.asarray(batch.column(2).flatten(), float).reshape(batch.num_rows, -1)
                 for c in np.unique(cell):
                     here, those = np.flatnonzero(cell == c), np.flatnonzero(cells[:, c])
                     if len(those):

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +34,9 @@ def build(files: DataFrame, root_name: str, empty_dirs: DataFrame | None = None)
     """All nodes of the tree over ``files`` (path relative to the root, content).
 
     A folder's hash is sha256 of its name and the sorted hashes of its children. One aggregation
-    for each level, deepest first: as many rounds as the tree is deep, whatever it holds.
+    for each level, deepest first: as many rounds as the tree is deep, whatever it holds. Hashes of
+    children are sorted in the exchange, which spills, and digested as they pass: a folder may be
+    of any width.
     ``empty_dirs`` (path) names folders without any file below them, which a file scan can't see.
     Contents are read once, for the narrow nodes of the files; every level is computed once.
     """
@@ -46,29 +54,48 @@ def build(files: DataFrame, root_name: str, empty_dirs: DataFrame | None = None)
         F.element_at(parts, -1).alias("name"),
         F.size(parts).alias("depth"),
     )
-    deepest = folders.agg(F.max("depth")).first()[0] or 0
+    top = leaves.sparkSession.range(1).select(F.lit(ROOT).alias("path"), F.lit(None).cast("string").alias("parent"), F.lit(root_name).alias("name"), F.lit(0).alias("depth"))
+    folders = folders.unionByName(top)
+    deepest = folders.agg(F.max("depth")).first()[0]
     done = leaves
     level = leaves.filter(F.col("depth") == deepest + 1)
-    for depth in range(deepest, 0, -1):
-        here = folders.filter(F.col("depth") == depth).join(_sums(level), "path", "left")
-        here = here.select("path", "parent", "name", "depth", _folder_hash(F.col("name")).alias("hash"), F.lit(False).alias("is_file"), F.coalesce("size", F.lit(0)).alias("size"))
+    for depth in range(deepest, -1, -1):
+        here = folders.filter(F.col("depth") == depth).join(_digests(level, root_name), "path", "left")
+        digest = F.coalesce("digest", F.sha2(F.col("name"), 256))  # of the name alone, if nothing is in it
+        here = here.select("path", "parent", "name", "depth", digest.alias("hash"), F.lit(False).alias("is_file"), F.coalesce("size", F.lit(0)).cast("long").alias("size"))
         here = materialised(here)
         done = done.unionByName(here)
         level = leaves.filter(F.col("depth") == depth).unionByName(here)
-    root = level.filter(F.col("parent") == ROOT).agg(F.sort_array(F.collect_list("hash")).alias("hashes"), F.sum("size").cast("long").alias("size"))
-    root = root.select(
-        F.lit(ROOT).alias("path"), F.lit(None).cast("string").alias("parent"), F.lit(root_name).alias("name"), F.lit(0).alias("depth"),
-        _folder_hash(F.lit(root_name)).alias("hash"), F.lit(False).alias("is_file"), F.coalesce("size", F.lit(0)).cast("long").alias("size"),
-    )
-    return done.unionByName(root)
-
-
-def _sums(level: DataFrame) -> DataFrame:
-    return level.groupBy(F.col("parent").alias("path")).agg(F.sort_array(F.collect_list("hash")).alias("hashes"), F.sum("size").alias("size"))
-
-
-def _folder_hash(name):
-    return F.sha2(F.concat(name, F.coalesce(F.array_join("hashes", ""), F.lit(""))), 256)
+    return done
+
+
+def _digests(level: DataFrame, root_name: str) -> DataFrame:
+    """(path, digest, size) of the folders right above ``level``: sha256 of a folder's name and the
+    sorted hashes in it, and the sum of sizes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, state, size = None, None, 0
+        for batch in batches:
+            n, out = batch.num_rows, []
+            if not n:
+                continue
+            parents, hashes, sizes = batch.columns
+            edges = np.flatnonzero(np.asarray(pc.not_equal(parents.slice(1), parents.slice(0, n - 1)))) + 1
+            for a, b in zip([0, *edges], [*edges, n], strict=True):
+                if parents[a].as_py() != path:
+                    if path is not None:
+                        out.append((path, state.hexdigest(), size))
+                    path, size = parents[a].as_py(), 0
+                    state = hashlib.sha256((root_name if path == ROOT else path.rsplit("/", 1)[-1]).encode())
+                state.update("".join(h for h in hashes.slice(a, b - a).to_pylist() if h is not None).encode())
+                size += pc.sum(sizes.slice(a, b - a)).as_py() or 0
+            if out:
+                yield pa.RecordBatch.from_pylist([dict(zip(("path", "digest", "size"), r, strict=True)) for r in out])
+        if path is not None:
+            yield pa.RecordBatch.from_pydict({"path": [path], "digest": [state.hexdigest()], "size": [size]})
+
+    rows = level.select("parent", "hash", "size").repartition("parent").sortWithinPartitions("parent", "hash")
+    return rows.mapInArrow(run, "path string, digest string, size long")
 
 
 def stats(nodes: DataFrame) -> DataFrame:

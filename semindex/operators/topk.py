@@ -31,9 +31,7 @@ def top_k(corpus: DataFrame, query: list[float], k: int, id_col: str = "chunk_id
 
     One pass with a heap in each task (TakeOrderedAndProject); no shuffle of the corpus.
     """
-    size = float(np.linalg.norm(np.asarray(query, float))) or 1.0
-    unit = vectors.literal([float(x) / size for x in query])
-    scored = corpus.withColumn("score", vectors.dot(vectors.normalise(F.col(vector_col)), unit))
+    scored = corpus.withColumn("score", vectors.similarity(F.col(vector_col), query))
     return scored.orderBy(F.desc("score"), id_col).limit(k)
 
 
@@ -55,11 +53,11 @@ def top_k_batch(corpus: DataFrame, queries: DataFrame, k: int, id_col: str, vect
 
     Queries are taken in blocks of QUERY_BLOCK; a task multiplies each Arrow batch of the corpus
     with a block and keeps its own k best for each query, so that only k rows for each query and
-    task are shuffled, whatever the size of the corpus.
+    task are shuffled, whatever the size of the corpus. Null vectors are like nothing.
     """
     spark = corpus.sparkSession
     kind = corpus.schema[id_col].dataType.simpleString()
-    rows = corpus.select(id_col, F.transform(vector_col, lambda x: x.cast("double")).alias("_v"))
+    rows = corpus.filter(F.col(vector_col).isNotNull()).select(id_col, vector_col)
 
     def near(part: list) -> DataFrame:
         sent = spark.sparkContext.broadcast(([r[0] for r in part], _unit(np.array([r[1] for r in part], float))))
@@ -71,7 +69,7 @@ def top_k_batch(corpus: DataFrame, queries: DataFrame, k: int, id_col: str, vect
                 if not batch.num_rows:
                     continue
                 own = batch.column(0).to_pylist()
-                values = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1)
+                values = np.asarray(batch.column(1).flatten(), float).reshape(batch.num_rows, -1)
                 scores = _unit(values) @ matrix.T
                 best = _merge(best, own, scores, ids, k, exclude_self)
             if best is not None:

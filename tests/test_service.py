@@ -39,6 +39,24 @@ def test_merkle(spark, root):
     assert sorted(map(tuple, again.select("path", "hash", "size").collect())) == sorted(map(tuple, nodes.select("path", "hash", "size").collect()))
 
 
+def test_wide_folders_pass_in_batches(spark):
+    paths = [f"wide/f{i}" for i in range(50)] + ["wide/deep/x", "a/y", "z"]
+    files = spark.createDataFrame([(p, p.encode()) for p in paths], "path string, content binary").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {r.path: (r.hash, r.size) for r in merkle.build(files, "top", spark.createDataFrame([("a/none",)], "path string")).collect()}
+        none = {r.path: (r.hash, r.size) for r in merkle.build(files.limit(0), "top").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sha = lambda *x: hashlib.sha256("".join(x).encode()).hexdigest()
+    deep = sha("deep", sha("wide/deep/x"))
+    wide = sha("wide", *sorted([sha(f"wide/f{i}") for i in range(50)] + [deep]))
+    a = sha("a", *sorted([sha("a/y"), sha("none")]))
+    assert got["wide/deep"] == (deep, 11) and got["wide"] == (wide, sum(map(len, paths)) - 4) and got["a"] == (a, 3) and got["a/none"] == (sha("none"), 0)
+    assert got["."] == (sha("top", *sorted([wide, a, sha("z")])), sum(map(len, paths)))
+    assert none == {".": (sha("top"), 0)}
+
+
 def test_diff(spark):
     old = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "path string, hash string")
     new = spark.createDataFrame([("a", "1"), ("b", "2"), ("d/e.py", "1")], "path string, hash string")
@@ -147,6 +165,24 @@ def test_batch_top_k(spark):
     assert topk.top_k_batch(corpus, queries.limit(0), 4, "id", "v").count() == 0
 
 
+def test_similarity(spark):
+    from pyspark.sql import functions as F
+
+    from semindex.functions import vectors
+
+    odd = [(0, [3.0, 4.0]), (1, [0.0, 0.0]), (2, None), (3, [1.0]), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [-3.0, -4.0]), (7, [])]
+    rows = spark.createDataFrame(odd, "id long, v array<float>")
+    got = {r.id: r.s for r in rows.select("id", vectors.similarity(F.col("v"), [6.0, 8.0]).alias("s")).collect()}
+    assert got == {0: pytest.approx(1), 1: 0, 2: None, 3: None, 4: None, 5: None, 6: pytest.approx(-1), 7: None}
+    assert [r.id for r in topk.top_k(rows, [6.0, 8.0], 3, "id", "v").collect()] == [0, 1, 6]
+    assert topk.top_k(rows.limit(0), [6.0, 8.0], 3, "id", "v").collect() == []
+    unit = {r.id: r.u for r in rows.filter("id in (0, 1, 2, 7)").select("id", vectors.normalise(F.col("v")).alias("u")).collect()}
+    assert unit == {0: pytest.approx([0.6, 0.8]), 1: [0, 0], 2: None, 7: []}
+    both = rows.filter("id in (0, 2, 6)")
+    asked = spark.createDataFrame([(9, [6.0, 8.0])], "query_id long, query_vector array<float>")
+    assert [(r.id, r["rank"]) for r in topk.top_k_batch(both, asked, 5, "id", "v").orderBy("rank").collect()] == [(0, 1), (6, 2)]
+
+
 def test_cells(spark):
     import random
 
