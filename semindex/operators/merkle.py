@@ -63,7 +63,7 @@ def build(files: DataFrame, root_name: str, empty_dirs: DataFrame | None = None)
         here = folders.filter(F.col("depth") == depth).join(_digests(level, root_name), "path", "left")
         digest = F.coalesce("digest", F.sha2(F.col("name"), 256))  # of the name alone, if nothing is in it
         here = here.select("path", "parent", "name", "depth", digest.alias("hash"), F.lit(False).alias("is_file"), F.coalesce("size", F.lit(0)).cast("long").alias("size"))
-        here = materialised(here)
+        here = materialised(here) if depth else here  # nothing stands on the root
         done = done.unionByName(here)
         level = leaves.filter(F.col("depth") == depth).unionByName(here)
     return done
